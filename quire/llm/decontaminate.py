@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import WORD_ANY_CASE, lower_ascii
 
@@ -40,16 +39,21 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int
     _row numbers the rows of docs as scanned; longest_hit is the longest run of hit words.
     """
     windows = item_windows(items, n)
+    split = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("_ws"))
+    each = split.select("_row", "doc_id", "_ws", F.size("_ws").alias("_n"), F.posexplode_outer("_ws").alias("_pos", "_word")).withColumn("_probe", F.xxhash64(F.lower("_word")))
+    start, near, low = F.col("_pos") - F.col("_at"), F.col("_ws"), F.lit(0)
     if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
-    split = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("_ws"))
-    each = split.select("_row", "doc_id", "_ws", F.posexplode_outer("_ws").alias("_pos", "_word")).withColumn("_probe", F.xxhash64(F.lower("_word")))
-    start = F.col("_pos") - F.col("_at")
-    same = (F.col("_probe") == F.col("_key")) & (start >= 0) & (lower_ascii(F.array_join(F.slice("_ws", F.greatest(start, F.lit(0)) + 1, F.col("_len")), " ")) == F.col("_w"))
+    else:  # rows are shuffled then, and take only the words around them along
+        low = F.greatest(F.col("_pos") - (n - 1), F.lit(0))
+        each = each.withColumn("_near", F.when(F.col("_pos").isNotNull(), F.slice("_ws", low + 1, 2 * n - 1))).drop("_ws", "_word")
+        near = F.col("_near")
+    found = lower_ascii(F.array_join(F.slice(near, F.greatest(start - low, F.lit(0)) + 1, F.col("_len")), " "))
+    same = (F.col("_probe") == F.col("_key")) & (start >= 0) & (found == F.col("_w"))
     hits = (
         each.join(windows, same, "left")
         .where(F.coalesce(F.col("_pos"), F.lit(0)).eqNullSafe(0) | F.col("_item").isNotNull())
-        .select("_row", "doc_id", F.size("_ws").alias("_n"), F.when(F.col("_item").isNotNull(), F.struct(start.alias("s"), (start + F.col("_len")).alias("e"))).alias("_span"), "_item")
+        .select("_row", "doc_id", "_n", F.when(F.col("_item").isNotNull(), F.struct(start.alias("s"), (start + F.col("_len")).alias("e"))).alias("_span"), "_item")
     )
     per = hits.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("_n").cast("long").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("_spans"), F.array_sort(F.collect_set("_item")).alias("_items"))
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"), F.lit(0).alias("run"), F.lit(0).alias("best"))
