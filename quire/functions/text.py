@@ -89,7 +89,7 @@ def stars(col: Column) -> Column:
 
 
 def series_label(name: Column, index: Column) -> Column:
-    number = F.regexp_replace(F.format_number(index, "0.######"), r"\.$", "")
+    number = F.when(index == F.floor(index), index.cast("long").cast("string")).otherwise(F.round(index, 6).cast("string"))
     return F.concat(name, F.lit(" ["), number, F.lit("]"))
 
 
@@ -99,7 +99,7 @@ def slug(col: Column, n: int = 60) -> Column:
 
 def name_key(col: Column) -> Column:
     """Words of a name in order of the alphabet."""
-    return F.array_join(F.array_sort(F.regexp_extract_all(cfold(col), F.lit(TOKEN), F.lit(0))), " ")
+    return F.array_join(F.sort_array(F.regexp_extract_all(cfold(col), F.lit(TOKEN), F.lit(0))), " ")
 
 
 def compact_key(col: Column) -> Column:

@@ -101,9 +101,9 @@ def describe(lib: Library, ids: DataFrame, full: bool = False) -> DataFrame:
     out = attach(out, lib.rows_of("series").groupBy("book").agg(F.min_by("value", "ord").alias("series_name")))
     out = attach(out, lib.rows_of("publisher").groupBy("book").agg(F.min_by("value", "ord").alias("publisher")))
     out = attach(out, lib.rows_of("rating").groupBy("book").agg(F.max("value").alias("_rating")))
-    formats = lib.table("data").groupBy("book").agg(F.array_sort(F.collect_set(F.upper("format"))).alias("formats"))
+    formats = lib.table("data").groupBy("book").agg(F.sort_array(F.collect_set(F.upper("format"))).alias("formats"))
     out = attach(out, formats)
-    ident = newest(lib.table("identifiers"), ["book", "type"], F.col("id").desc()).groupBy("book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "val")))).alias("identifiers"))
+    ident = newest(lib.table("identifiers"), ["book", "type"], F.col("id").desc()).groupBy("book").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "val")))).alias("identifiers"))
     out = attach(out, ident)
     out = attach(out, lib.table("annotations").groupBy("book").agg(F.count("*").alias("annotations")))
     columns = ["id", "title", "authors", "tags", F.when(F.col("series_name").isNotNull(), series_label(F.col("series_name"), F.col("series_index"))).alias("series"), "publisher", "languages", stars(F.col("_rating")).alias("rating"), iso_date(F.col("pubdate")).alias("published"), iso_date(F.col("timestamp")).alias("added"), "formats", "identifiers", "annotations", (F.col("has_cover") == 1).alias("has_cover")]
@@ -140,7 +140,7 @@ def custom_values(lib: Library, ids: DataFrame | None = None) -> DataFrame:
             text = series_label(F.col("value_str"), F.col("extra"))
         elif kind == "comments":
             text = strip_html(F.col("value_str"))
-        shown = rows.select("book", "label", "name", text.alias("value"), "ord").groupBy("book", "label", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x.value), ", ").alias("value"))
+        shown = rows.select("book", "label", "name", text.alias("value"), "ord").groupBy("book", "label", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x.value), ", ").alias("value"))
         out = shown if out is None else out.unionByName(shown)
     return out if out is not None else lib.spark.createDataFrame([], "book long, label string, name string, value string")
 
@@ -153,7 +153,7 @@ def custom_coverage(lib: Library, top: int = 10) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
     counted = out.groupBy("label", "value_str").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "value_str"))).where(F.col("_r") <= top)
-    tops = ranked.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value_str", "n"))), lambda x: F.struct(x.value_str.alias("value"), x.n.alias("n"))).alias("top"))
+    tops = ranked.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "value_str", "n"))), lambda x: F.struct(x.value_str.alias("value"), x.n.alias("n"))).alias("top"))
     return out.groupBy("label").agg(F.count_distinct("book").alias("books")).join(tops, "label", "left")
 
 

@@ -6,6 +6,7 @@ wanted terms together; a unit's frequency is then array arithmetic in that row.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -157,7 +158,7 @@ def build_index(texts: DataFrame, stem: bool = False) -> Index:
     tokens = fts_tokens(F.coalesce(F.col("text"), F.lit("")))
     split = texts.select("rid", "book", "fmt", (stemmed(tokens) if stem else tokens).alias("_t"))
     each = split.select("rid", F.posexplode("_t").alias("pos", "term"))
-    postings = each.groupBy("rid", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = each.groupBy("rid", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return Index(postings, split.select("rid", "book", "fmt", F.size("_t").cast("long").alias("dl")), stem)
 
 
@@ -191,11 +192,14 @@ def frequencies(index: Index, tree) -> tuple[DataFrame, list[tuple[str, bool]],
     none = F.array().cast("array<int>")
     columns = {**{("w", w): F.col("term") == w for w in exact}, **{("p", s): F.col("term").startswith(s) for s in starts}}
     names = {k: f"_p{i}" for i, k in enumerate(columns)}
-    frame = index.postings.where(wanted).groupBy("rid").agg(*[F.array_sort(F.flatten(F.collect_list(F.when(c, F.col("positions"))))).alias(names[k]) for k, c in columns.items()])
+    frame = index.postings.where(wanted).groupBy("rid").agg(*[F.sort_array(F.flatten(F.collect_list(F.when(c, F.col("positions"))))).alias(names[k]) for k, c in columns.items()])
+
+    def shifted(at: Column, by: int) -> Column:
+        return F.transform(at, lambda x: x - by) if by else at
 
     def places(p: Phrase) -> Column:
         keys = [("p", w) if p.prefix and i == len(p.words) - 1 else ("w", word(w)) for i, w in enumerate(p.words)]
-        at = [F.transform(F.coalesce(F.col(names[k]), none), lambda x, i=i: x - i) for i, k in enumerate(keys)]
+        at = [shifted(F.coalesce(F.col(names[k]), none), i) for i, k in enumerate(keys)]
         found = reduce(F.array_intersect, at) if len(at) > 1 else at[0]
         return F.filter(found, lambda x: x == 0) if p.initial else found
 
@@ -207,25 +211,30 @@ def frequencies(index: Index, tree) -> tuple[DataFrame, list[tuple[str, bool]],
         def near(x: Column, n: int, other: Column, m: int) -> Column:
             return F.exists(other, lambda y: F.when(y > x, y - x - n).otherwise(x - y - m).between(0, unit.words))
 
-        return [F.size(F.filter(a, lambda x, i=i, n=n: reduce(lambda c, d: c & d, [near(x, n, b, m) for k, (b, m) in enumerate(at) if k != i], F.lit(True)))) for i, (a, n) in enumerate(at)]
+        def taking_part(i: int) -> Column:
+            own, n = at[i]
+            return F.size(F.filter(own, lambda x: reduce(lambda c, d: c & d, [near(x, n, b, m) for k, (b, m) in enumerate(at) if k != i], F.lit(True))))
+
+        return [taking_part(i) for i in range(len(at))]
 
-    scored, conditions = [], {}
+    made, scored, level = [], [], {}
     for unit, positive in units:
         mine = []
         for f in frequency(unit):
             name = f"_f{len(scored)}"
-            frame = frame.withColumn(name, f)
+            made.append(f.alias(name))
             scored.append((name, positive))
-            mine.append(F.col(name) > 0)
-        conditions[unit] = reduce(lambda a, b: a & b, mine)
+            mine.append(F.col(name))
+        level[unit] = F.least(*mine) if len(mine) > 1 else mine[0]
 
-    def condition(tree) -> Column:
+    def truth(tree) -> Column:
+        """Over 0 if the row matches. Minima and maxima: the optimizer would multiply out a long disjunction."""
         if not isinstance(tree, Both):
-            return conditions[tree]
-        a, b = condition(tree.left), condition(tree.right)
-        return a & b if tree.kind == "and" else a | b if tree.kind == "or" else a & ~b
+            return level[tree]
+        a, b = truth(tree.left), truth(tree.right)
+        return F.least(a, b) if tree.kind == "and" else F.greatest(a, b) if tree.kind == "or" else F.when(b > 0, 0).otherwise(a)
 
-    return frame, scored, condition(tree)
+    return frame.select("rid", *made), scored, truth(tree) > 0
 
 
 def search(index: Index, tree, allowed: DataFrame | None = None) -> DataFrame:
@@ -234,14 +243,14 @@ def search(index: Index, tree, allowed: DataFrame | None = None) -> DataFrame:
     use = [name for name, positive in scored if positive]
     stats = index.rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
     counts = frame.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in use]).first()
-    total = F.lit(0.0)
-    for c in use:
-        idf = F.greatest(F.log((F.lit(stats["n"]) - F.lit(counts[c]) + 0.5) / (F.lit(counts[c]) + 0.5)), F.lit(IDF_FLOOR))
-        total = total + idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avg"] or 1.0)))
-    hits = frame.where(condition).join(index.rows, "rid")
+    n = stats["n"]
+    idf = [max(math.log((n - counts[c] + 0.5) / (counts[c] + 0.5)), IDF_FLOOR) for c in use]
+    hits = frame.where(condition).select("rid", F.array(*[F.col(c).cast("double") for c in use]).alias("_f")).join(index.rows, "rid")
     if allowed is not None:
         hits = hits.join(allowed.select("book").distinct(), "book", "left_semi")
-    return hits.select("rid", "book", "fmt", total.alias("score"))
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avg"] or 1.0)))
+    parts = F.zip_with("_f", F.array(*[F.lit(x) for x in idf]), lambda f, w: w * f * (K1 + 1) / (f + norm))
+    return hits.select("rid", "book", "fmt", F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
 def best_per_book(hits: DataFrame) -> DataFrame:

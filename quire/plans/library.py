@@ -76,14 +76,14 @@ class Library:
     def rows_of(self, category: str) -> DataFrame:
         """book, value, item (id of the value), ord (its place among the book's)."""
         link, key, values, value, order = CATEGORIES[category]
-        links, named = self.table(link), self.table(values)
-        place = named[value] if order == "name" else links[order]
-        return links.join(named, links[key] == named["id"]).select(links["book"], named[value].alias("value"), named["id"].alias("item"), place.alias("ord"))
+        named = self.table(values).select(F.col("id").alias("item"), F.col(value).alias("value"))
+        links = self.table(link).select("book", F.col(key).alias("item"), *([F.col(order).alias("ord")] if order != "name" else []))
+        return links.join(named, "item").select("book", "value", "item", F.col("value" if order == "name" else "ord").alias("ord"))
 
     def listed(self, category: str, alias: str | None = None) -> DataFrame:
         """book and the ordered array of its values."""
         rows = self.rows_of(category)
-        return rows.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x.value).alias(alias or category))
+        return rows.groupBy("book").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x.value).alias(alias or category))
 
     def preference(self, key: str):
         """A stored JSON preference; None if it is missing or isn't JSON."""

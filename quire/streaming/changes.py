@@ -103,7 +103,7 @@ def to_extract(files: DataFrame, done: DataFrame, failures: DataFrame, retry_fai
 def book_stamp(files: DataFrame) -> DataFrame:
     """files: book, fmt, mtime, size. One stamp for each book from all its files."""
     one = F.concat_ws(":", "fmt", F.col("mtime").cast("long").cast("string"), F.col("size").cast("string"))
-    return files.groupBy("book").agg(F.array_join(F.array_sort(F.collect_list(one)), "|").alias("stamp"))
+    return files.groupBy("book").agg(F.array_join(F.sort_array(F.collect_list(one)), "|").alias("stamp"))
 
 
 def remember_failures(old: DataFrame, new: DataFrame, cleared: DataFrame) -> DataFrame:
