@@ -290,7 +290,7 @@ def fts_best_format_per_book(spark, sf):
 
 @query()
 def fts_stemmed(spark, sf):
-    return fulltext.search_books(fulltext.build_index(texts(spark, sf), stem=True), "nations readings", "any")
+    return fulltext.search_books(fulltext.build_index(texts(spark, sf), stem=True), "blests heors threas", "any")
 
 
 @query(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM p GROUP BY 1")
@@ -518,7 +518,7 @@ def quality_variants(spark, sf):
 
 
 @query("""WITH s AS (SELECT p_type, p_size, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT p_type, min(p_size) AS a, max(p_size) AS b, list_sort(list(p_size)) AS w, count_if(n > 1) AS d, count(*) AS k FROM s WHERE p_size >= 1 GROUP BY 1)
-SELECT p_type AS series, b - a + 1 - k AS missing, d AS duplicated FROM r WHERE b - a + 1 - k > 0 OR d > 0""")
+SELECT p_type AS series, b - a + 1 - k AS missing, d::BIGINT AS duplicated FROM r WHERE b - a + 1 - k > 0 OR d > 0""")
 def quality_series_gaps(spark, sf):
     gaps = curate.series_gaps(parts_library(spark, sf))
     return gaps.select("series", F.size("missing").cast("long").alias("missing"), F.size("duplicated").cast("long").alias("duplicated"))
@@ -667,7 +667,7 @@ def best_snippets(spark, sf):
 
 @query()
 def find_in_book(spark, sf):
-    one = read(spark, sf, "documents").where("doc_id = 20")
+    one = read(spark, sf, "documents").where("doc_id = 1")
     return one.select(F.explode(snippets.find_in_text(F.col("text"), "the heor")).alias("s")).select("s.*")
 
 
