@@ -33,8 +33,9 @@ def own_words(text: Column) -> Column:
 
 def shingle_hits(texts: DataFrame, sources: DataFrame) -> DataFrame:
     """texts: id, text; sources: text. id, pos, hit for each shingle of the texts."""
-    mine = texts.select("id", F.posexplode(shingles(own_words(F.col("text")), N)).alias("pos", "s"))
-    theirs = sources.select(F.explode(shingles(words(F.col("text")), N)).alias("s")).distinct().withColumn("_in", F.lit(True))
+    # the words are a column of their own first: inside the lambda of shingles() they would be cut anew for each shingle
+    mine = texts.select("id", own_words(F.col("text")).alias("_w")).select("id", F.posexplode(shingles(F.col("_w"), N)).alias("pos", "s"))
+    theirs = sources.select(words(F.col("text")).alias("_w")).select(F.explode(shingles(F.col("_w"), N)).alias("s")).distinct().withColumn("_in", F.lit(True))
     return mine.join(theirs, "s", "left").select("id", "pos", F.coalesce("_in", F.lit(False)).alias("hit"))
 
 

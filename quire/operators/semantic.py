@@ -115,7 +115,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def literal(vector) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in vector) + ")")
 
 
 def vector_scores(passages: DataFrame, queries: list, column: str = "vec", score=None) -> DataFrame:

@@ -384,7 +384,8 @@ def hybrid_front_demotion(spark, sf):
 
 def _doc_passages(spark: SparkSession, sf: str) -> DataFrame:
     cut = semantic.chunk_texts(texts(spark, sf).select("book", "text"))
-    return cut.withColumn("id", F.col("book") * 10_000 + F.col("n")).withColumn("vec", semantic.quantise(semantic.embed(F.col("text"))))
+    stored = cut.withColumn("id", F.col("book") * 10_000 + F.col("n")).withColumn("vec", semantic.quantise(semantic.embed(F.col("text"))))
+    return stored.persist()  # stands for the stored passage table, which a search reads several times
 
 
 @query()
