@@ -203,9 +203,10 @@ def frequencies(index: Index, tree) -> tuple[DataFrame, list[tuple[str, bool]],
         found = reduce(F.array_intersect, at) if len(at) > 1 else at[0]
         return F.filter(found, lambda x: x == 0) if p.initial else found
 
-    def frequency(unit) -> list[Column]:
+    def frequency(unit) -> list[tuple[Column, Column]]:
+        """For each scored phrase: how often it counts in the row, and how often it stands there at all."""
         if isinstance(unit, Phrase):
-            return [F.size(places(unit))]
+            return [(F.size(places(unit)), F.size(places(unit)))]
         at = [(places(p), len(p.words)) for p in unit.phrases]
 
         def near(x: Column, n: int, other: Column, m: int) -> Column:
@@ -215,14 +216,14 @@ def frequencies(index: Index, tree) -> tuple[DataFrame, list[tuple[str, bool]],
             own, n = at[i]
             return F.size(F.filter(own, lambda x: reduce(lambda c, d: c & d, [near(x, n, b, m) for k, (b, m) in enumerate(at) if k != i], F.lit(True))))
 
-        return [taking_part(i) for i in range(len(at))]
+        return [(taking_part(i), F.size(at[i][0])) for i in range(len(at))]
 
     made, scored, level = [], [], {}
     for unit, positive in units:
         mine = []
-        for f in frequency(unit):
+        for f, present in frequency(unit):
             name = f"_f{len(scored)}"
-            made.append(f.alias(name))
+            made += [f.alias(name), present.alias("_in" + name)]
             scored.append((name, positive))
             mine.append(F.col(name))
         level[unit] = F.least(*mine) if len(mine) > 1 else mine[0]
@@ -242,7 +243,7 @@ def search(index: Index, tree, allowed: DataFrame | None = None) -> DataFrame:
     frame, scored, condition = frequencies(index, tree)
     use = [name for name, positive in scored if positive]
     stats = index.rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-    counts = frame.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in use]).first()
+    counts = frame.agg(*[F.count_if(F.col("_in" + c) > 0).alias(c) for c in use]).first()
     n = stats["n"]
     idf = [max(math.log((n - counts[c] + 0.5) / (counts[c] + 0.5)), IDF_FLOOR) for c in use]
     hits = frame.where(condition).select("rid", F.array(*[F.col(c).cast("double") for c in use]).alias("_f")).join(index.rows, "rid")

@@ -226,11 +226,11 @@ def similar_tags_weighted(spark, sf):
 TOKENS = f"t AS (SELECT doc_id, source, regexp_extract_all({text.sql_fts_norm('text')}, '[\\p{{L}}\\p{{N}}]+') AS ts FROM documents), p AS (SELECT doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS term FROM t), s AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM t)"
 
 
-def bm25(units: list[str], keep: str, score: list[bool] | None = None) -> str:
-    """units: SQL of (doc_id, f); keep: condition over f0, f1, ..."""
+def bm25(units: list[str], keep: str, score: list[bool] | None = None, rows: list[str] | None = None) -> str:
+    """units: SQL of (doc_id, f); keep: condition over f0, f1, ...; rows: SQL of the rows that count for each unit."""
     ctes, joins, sums = [], "", []
     for i, u in enumerate(units):
-        ctes.append(f"u{i} AS ({u}), c{i} AS (SELECT count(*) AS c FROM u{i})")
+        ctes.append(f"u{i} AS ({u}), c{i} AS (SELECT count(*) AS c FROM {f'({rows[i]})' if rows else f'u{i}'})")
         joins += f" LEFT JOIN u{i} ON u{i}.doc_id = t.doc_id"
         if score is None or score[i]:
             f = f"coalesce(u{i}.f, 0)"
@@ -240,9 +240,9 @@ def bm25(units: list[str], keep: str, score: list[bool] | None = None) -> str:
     return f"WITH {TOKENS}, {', '.join(ctes)} SELECT t.doc_id AS book, round({' + '.join(sums)}, 6) AS score FROM t, s, {', '.join(f'c{i}' for i in range(len(units)))}{joins.replace('LEFT JOIN', 'LEFT JOIN')} WHERE {keep}"
 
 
-def _bm25(units: list[str], keep: str, score: list[bool] | None = None) -> str:
+def _bm25(units: list[str], keep: str, score: list[bool] | None = None, rows: list[str] | None = None) -> str:
     """Counts are scalar subqueries, so that only the left joins remain in FROM."""
-    sql = bm25(units, keep, score)
+    sql = bm25(units, keep, score, rows)
     head, _, tail = sql.rpartition(" FROM t, s, ")
     joins = tail[tail.index(" LEFT JOIN") :]
     for i in range(len(units)):
@@ -268,7 +268,7 @@ fts("fts_all", "the with", "all", _bm25([_term("the"), _term("with")], "f0 AND f
 fts("fts_any", "heor blest", "any", _bm25([_term("heor"), _term("blest")], "f0 OR f1"))
 fts("fts_phrase", "of the", "phrase", _bm25([_two("of", "the")], "f0"))
 fts("fts_prefix", "threa*", "all", _bm25([_prefix("threa")], "f0"))
-fts("fts_near", "NEAR(and of, 1)", "raw", _bm25([_near("and", "of", 1), _near("of", "and", 1)], "f0 AND f1"))
+fts("fts_near", "NEAR(and of, 1)", "raw", _bm25([_near("and", "of", 1), _near("of", "and", 1)], "f0 AND f1", rows=[_term("and"), _term("of")]))
 fts("fts_not", "the NOT with", "raw", _bm25([_term("the"), _term("with")], "f0 AND NOT f1", [True, False]))
 fts("fts_grouped", '(heor OR "of the") AND with', "raw", _bm25([_term("heor"), _two("of", "the"), _term("with")], "(f0 OR f1) AND f2"))
 fts("fts_initial", "^the", "raw", _bm25(["SELECT doc_id, count(*) AS f FROM p WHERE term = 'the' AND pos = 0 GROUP BY 1"], "f0"))
