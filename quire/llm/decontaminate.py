@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_ANY_CASE, lower_ascii
+from .common import WORD_ANY_CASE, lower_ascii, spare
 
 #: Up to so many windows the set is broadcast (under 100 MB); above, the same join is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -81,9 +81,9 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 8, longest:
 
     Items of fewer than n words only count together with others, so that a common short phrase spares a document.
     """
-    judged = contamination(docs, items, n)
-    bad = judged.where((F.col("longest_hit") >= longest) | F.col("contaminated")).select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(bad, "_row", "left_anti").drop("_row")
+    judged, row = contamination(docs, items, n), spare(docs, "_row")
+    bad = judged.where((F.col("longest_hit") >= longest) | F.col("contaminated")).select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(bad, row, "left_anti").drop(row)
 
 
 SQL = r"""

@@ -21,13 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 #: The bounded sample: at most so many labelled rows of a language, and bytes of each (normalised).
 SAMPLE_ROWS = 64
 SAMPLE_BYTES = 400
 #: Bytes between fresh starts of the parse.
 BLOCK = 4096
-#: Bits a byte above which no learned language explains a text (languages reach 1 to 3, noise 5 and more).
+#: Bits a byte above which no learned language explains a text (languages reach 1 to 3, noise 5 and more), and the
+#: bytes from which on that can be told: a word or two is never rejected.
 REJECT_BITS = 4.5
+REJECT_BYTES = 256
 
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[a-z]")
@@ -134,7 +138,7 @@ class Model:
         return total
 
     def judge(self, texts: list[str | None]) -> pd.DataFrame:
-        """lang_pred, score, bits (of the winner, a byte)."""
+        """lang_pred, score, bits (of the winner, a byte), explained (a language was found and accounts for the text)."""
         norms = [normalise(x) if x else b"" for x in texts]
         pred, score, bits = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
         if self.langs:
@@ -146,7 +150,9 @@ class Model:
                 if x and has_letter(x, norms[i]):
                     pred[i], bits[i] = self.langs[best[i]], ranked[0, i]
                     score[i] = min(1.0, max(0.0, 1 - ranked[0, i] / max(second[i], 1e-9)))
-        return pd.DataFrame({"lang_pred": pred, "score": score, "bits": bits})
+        sizes = np.array([len(x) for x in norms])
+        explained = (np.array(pred, object) != "und") & ((sizes < REJECT_BYTES) | ~(bits > REJECT_BITS))
+        return pd.DataFrame({"lang_pred": pred, "score": score, "bits": bits, "explained": explained.astype(bool)})
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -173,10 +179,10 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
 
 
 def predictor(docs: DataFrame, model: Model):
-    """A function of a text column: struct of lang_pred, score, bits."""
+    """A function of a text column: struct of lang_pred, score, bits, explained."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, bits double")
+    @F.pandas_udf("lang_pred string, score double, bits double, explained boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
         return shared.value.judge(text.tolist())
 
@@ -192,7 +198,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without those that have no language: `und`, or none that explains the text (REJECT_BITS)."""
+    """docs without those that have no language: `und`, or none that explains a text of REJECT_BYTES and more."""
     predict = predictor(docs, fit(docs, fold(F.col(doc_id), 4) != 2, doc_id, text, lang))
-    judged = docs.withColumn("_r", predict(F.col(text)))
-    return judged.where((F.col("_r.lang_pred") != "und") & (F.col("_r.bits") <= REJECT_BITS)).drop("_r")
+    name = spare(docs, "_r")
+    judged = docs.withColumn(name, predict(F.col(text)))
+    return judged.where(F.col(name)["explained"]).drop(name)

@@ -93,9 +93,10 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
 
 def take_mixture(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: int = 2, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixture itself: each row of docs as often as it is taken, whole; the boundary document if half of it fits."""
-    keyed = _keyed(docs, doc_id, text, source, seed)
-    rows = materialize(keyed.select("_source", "_size", "_key"), "mix-rows")
+    rows = materialize(_keyed(docs, doc_id, text, source, seed).select("_source", "_size", "_key"), "mix-rows")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"))  # no column of docs can clash then
+    keyed = _keyed(whole, f"_doc.{doc_id}", f"_doc.{text}", f"_doc.{source}", seed)
     both = _joined(keyed, mixture(rows, share, weights, max_epochs))
     more = (F.col("_key") < F.col("_edge")) | ((F.col("_key") == F.col("_edge")) & (F.col("_edge_words") * 2 >= F.col("_edge_sum")))
     copies = F.when(F.col("_size") > 0, F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).where(copies > 0).select(*docs.columns)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).where(copies > 0).select("_doc.*")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import materialize, spare
 
 #: Ranges of the fractional rank.
 RANGES = 4096
@@ -52,6 +52,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 29, doc_id: str
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 29) -> DataFrame:
     """docs with their shard and slot."""
-    placed = assign_shards(docs, shards, seed).select("_row", "shard", "slot")
+    row = spare(docs, "_row")
+    placed = assign_shards(docs, shards, seed).select(F.col("_row").alias(row), "shard", "slot")
     kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot")]
-    return docs.select(*kept, F.monotonically_increasing_id().alias("_row")).join(placed, "_row").drop("_row")
+    return docs.select(*kept, F.monotonically_increasing_id().alias(row)).join(placed, row).drop(row)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, spare
 from .components import components
 
 SEGMENTS = 4
@@ -135,5 +135,6 @@ def fingerprint_hex(fp: Column) -> Column:
 
 def keep_first(docs: DataFrame, n: int = 3, bits: int = 2) -> DataFrame:
     """docs with one row of each component: that of the least doc_id."""
-    gone = near_classes(docs, n, bits).where(F.col("_row") != F.col("first_row")).select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    row = spare(docs, "_row")
+    gone = near_classes(docs, n, bits).where(F.col("_row") != F.col("first_row")).select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
