@@ -10,6 +10,8 @@ Only distinct fingerprints are compared. A key under which more than CROWD of th
 fingerprints are linked exactly through the 65 points within one bit of each (two fingerprints differ in at most 2
 bits if and only if they share such a point, and no point has more than 65 of them around it).
 
+near_classes() and keep_first() also take a similarity of 5-word shingles, whose links simhash_wide finds.
+
 Null and wordless texts have fingerprint zero, linked like any other. Null doc_id: its row is a member, never the
 name, of a component (null if all ids are). Repeated rows: one row each. Extra columns are never read. Empty
 table: no rows. All of a very long text is hashed.
@@ -28,6 +30,7 @@ from pyspark.sql import Window as W
 
 from .common import materialize, small_batches, spare
 from .components import components
+from .simhash_wide import wide_links, wide_simhash
 
 SEGMENTS = 4
 WIDTH = 64 // SEGMENTS
@@ -115,14 +118,19 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     return close.select("u", "v").union(hubs.select("u", "v")).distinct()
 
 
-def near_classes(docs: DataFrame, n: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_row (place in the scan), doc_id, fp, component_id (least doc_id that can be reached), first_row (its first row)."""
+def near_classes(docs: DataFrame, n: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
+    """_row (place in the scan), doc_id, fp, component_id (least doc_id that can be reached), first_row (its first row).
+
+    With a similarity, documents that resemble each other by it in their 5-word shingles are linked as well.
+    """
     small_batches(docs.sparkSession)
-    prints = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), simhash(F.col(text), n).alias("fp"))
-    prints = materialize(prints, "simhash")
+    wide = [] if similarity is None else [wide_simhash(F.col(text)).alias("_wide")]
+    prints = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), simhash(F.col(text), n).alias("fp"), *wide)
+    prints = materialize(prints if similarity is None else prints.select("_row", "doc_id", "fp", "_wide.wide", "_wide.keys"), "simhash")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))
     classes = materialize(prints.groupBy("fp").agg(least.alias("least"), F.min("_row").alias("any_row")), "simhash-classes")
-    roots = components(links(classes.select("fp"), bits))
+    edges = links(classes.select("fp"), bits)
+    roots = components(edges if similarity is None else edges.union(wide_links(prints, similarity)))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("name"), F.min("any_row").alias("any_row"))
     named = named.select("fp", "root").join(names, "root").select("fp", F.col("name.doc_id").alias("component_id"), F.coalesce("name._row", "any_row").alias("first_row"))
@@ -133,8 +141,8 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, n: int = 3, bits: int = 2) -> DataFrame:
+def keep_first(docs: DataFrame, n: int = 3, bits: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """docs with one row of each component: that of the least doc_id."""
     row = spare(docs, "_row")
-    gone = near_classes(docs, n, bits).where(F.col("_row") != F.col("first_row")).select(F.col("_row").alias(row))
+    gone = near_classes(docs, n, bits, similarity=similarity).where(F.col("_row") != F.col("first_row")).select(F.col("_row").alias(row))
     return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
