@@ -118,19 +118,23 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     return close.select("u", "v").union(hubs.select("u", "v")).distinct()
 
 
-def near_classes(docs: DataFrame, n: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
-    """_row (place in the scan), doc_id, fp, component_id (least doc_id that can be reached), first_row (its first row).
+def near_classes(docs: DataFrame, n: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, row: str | None = None) -> DataFrame:
+    """_row (that column of docs, else the place in the scan), doc_id, fp, component_id (least doc_id that can be reached), first_row (its first row).
 
     With a similarity, documents that resemble each other by it in their 5-word shingles are linked as well.
     """
     small_batches(docs.sparkSession)
+    if similarity is not None and row is None:  # texts are looked up again by their number
+        docs, row = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "numbered"), "_row"
+        doc_id, text = "doc_id", "text"
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
     wide = [] if similarity is None else [wide_simhash(F.col(text)).alias("_wide")]
-    prints = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), simhash(F.col(text), n).alias("fp"), *wide)
-    prints = materialize(prints if similarity is None else prints.select("_row", "doc_id", "fp", "_wide.wide", "_wide.keys"), "simhash")
+    prints = docs.select(number.alias("_row"), F.col(doc_id).alias("doc_id"), simhash(F.col(text), n).alias("fp"), *wide)
+    prints = materialize(prints if similarity is None else prints.select("_row", "doc_id", "fp", "_wide.*"), "simhash")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))
     classes = materialize(prints.groupBy("fp").agg(least.alias("least"), F.min("_row").alias("any_row")), "simhash-classes")
     edges = links(classes.select("fp"), bits)
-    roots = components(edges if similarity is None else edges.union(wide_links(prints, similarity)))
+    roots = components(edges if similarity is None else edges.union(wide_links(prints, docs.select(F.col(row).alias("row"), F.col(text).alias("text")), similarity)))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("name"), F.min("any_row").alias("any_row"))
     named = named.select("fp", "root").join(names, "root").select("fp", F.col("name.doc_id").alias("component_id"), F.coalesce("name._row", "any_row").alias("first_row"))

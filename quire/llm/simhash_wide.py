@@ -6,7 +6,8 @@ similarity s two of them differ in acos(2s / (1 + s)) / pi of the bits (0.8: 155
 Candidates share one of BANDS keys, each of the least ROWS shingle hashes under as many orders (0.8: 99.96 % of
 pairs share one, 0.5: 47 %, 0.2: 0.6 %). They are pruned by pigeonring on the segments of 64 bits, chains of CHAIN
 segments within their part of the budget, and then held to the whole Hamming budget, which has SLACK bits above the
-expected count. Pairs well above the similarity are found, pairs near it as the deviation of the fingerprint has it.
+expected count: four deviations, so that the estimate rejects next to none. The pairs left are decided by the real
+Jaccard similarity of their sets of shingle hashes, which are made for the documents of such pairs only.
 
 Under a key of up to CROWD fingerprints all are paired. In a larger group every member is held against LEADERS
 members of it, those whose keys are most common in all bands: the text that the others are edits of shares its keys
@@ -35,8 +36,8 @@ BANDS, ROWS = 20, 5
 #: Fingerprints under one key up to which all are paired; members of a larger group that each other is held against.
 CROWD = 16
 LEADERS = 2
-#: Bits above the expected distance at the least similarity: about one deviation.
-SLACK = 10
+#: Bits above the expected distance at the least similarity: four deviations.
+SLACK = 48
 
 _ORDERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -72,17 +73,30 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def wide_simhash(text: Column, n: int = 5) -> Column:
-    """Struct of wide (array of WIDE longs) and keys (array of BANDS longs, empty without words)."""
+    """Struct of wide (array of WIDE longs), keys (array of BANDS longs, empty without words) and sid, the hash of the set."""
     from .simhash import shingle_hashes
 
-    @F.pandas_udf("wide array<long>, keys array<long>")
+    @F.pandas_udf("wide array<long>, keys array<long>, sid long")
     def fingerprint(texts: pd.Series) -> pd.DataFrame:
-        made = [sketch(shingle_hashes(t, n)) for t in texts]
-        return pd.DataFrame({"wide": [m[0] for m in made], "keys": [m[1] for m in made]})
+        sets = [np.unique(shingle_hashes(t, n)) for t in texts]
+        made = [sketch(h) for h in sets]
+        sids = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"wide": [m[0] for m in made], "keys": [m[1] for m in made], "sid": sids})
 
     return fingerprint(text)
 
 
+def shingle_set(text: Column, n: int = 5) -> Column:
+    """The distinct shingle hashes of a text."""
+    from .simhash import shingle_hashes
+
+    @F.pandas_udf("array<long>")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, n)).view(np.int64) for t in texts], dtype=object)
+
+    return distinct(text)
+
+
 def _resemble(x: str, y: str, bits: int) -> Column:
     """Some chain of consecutive segments keeps its budget at every length, and so does the whole."""
     differ = F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
@@ -99,11 +113,25 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def wide_links(prints: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """prints: fp, wide, keys. Edges u > v between the fp of documents that resemble each other."""
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """pairs: x, y (ids of nodes). Edges u > v of those whose sets of shingles have the Jaccard similarity."""
+    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+    rows = materialize(nodes.join(wanted, "id", "left_semi").select("id", "fp", "row"), "wide-wanted")
+    sets = texts.join(rows, "row").select("id", "fp", shingle_set(F.col("text")).alias("set"))
+    sets = materialize(sets, "wide-sets")
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("fp").alias(f"{n}_fp"), F.col("set").alias(f"{n}_set"))
+    common, sizes = F.size(F.array_intersect("x_set", "y_set")), F.size("x_set") + F.size("y_set")
+    # common / (sizes - common) in whole numbers, so that a pair at the similarity itself is in
+    alike = pairs.join(side("x"), "x").join(side("y"), "y").where(common * (1 + similarity) >= similarity * sizes - 1e-6)
+    return alike.select(F.greatest("x_fp", "y_fp").alias("u"), F.least("x_fp", "y_fp").alias("v")).distinct()
+
+
+def wide_links(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """prints: _row, fp, wide, keys, sid; texts: row, text; both stored. Edges u > v between the fp of documents that resemble each other."""
     # copies fall together before anything is dealt by a key
-    nodes = prints.where(F.size("keys") > 0).select("fp", "wide", "keys").distinct()
-    nodes = materialize(nodes.withColumn("id", F.xxhash64("fp", "wide")), "wide")
+    nodes = prints.where(F.size("keys") > 0).withColumn("id", F.xxhash64("fp", "sid")).groupBy("id").agg(F.min("_row").alias("row"))
+    nodes = prints.select(F.col("_row").alias("row"), "fp", "wide", "keys").join(nodes, "row")
+    nodes = materialize(nodes, "wide")
     keyed = nodes.select("id", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-sizes")
     held = materialize(keyed.join(sizes, "key"), "wide-keys")
@@ -114,7 +142,7 @@ def wide_links(prints: DataFrame, similarity: float = 0.8) -> DataFrame:
     ranked = many.join(held.groupBy("id").agg(F.sum("n").alias("score")), "id")
     leaders = ranked.groupBy("key", F.pmod("id", F.lit(LEADERS)).alias("salt")).agg(F.max(F.struct("score", "id")).alias("top"))
     led = many.select("key", F.col("id").alias("x")).join(leaders.select("key", F.col("top.id").alias("y")), "key").select("x", "y").where("x != y")
-    pairs = materialize(few.union(led).distinct(), "wide-pairs")
+    pairs = materialize(few.union(led).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "wide-pairs")
     side = lambda n: nodes.select(F.col("id").alias(n), F.col("fp").alias(f"{n}_fp"), F.col("wide").alias(f"{n}_wide"))
     near = pairs.join(side("x"), "x").join(side("y"), "y").where(F.col("x_fp") != F.col("y_fp")).where(_resemble("x_wide", "y_wide", budget(similarity)))
-    return near.select(F.greatest("x_fp", "y_fp").alias("u"), F.least("x_fp", "y_fp").alias("v")).distinct()
+    return _verified(materialize(near.select("x", "y"), "wide-near"), nodes, texts, similarity)

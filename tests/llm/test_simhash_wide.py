@@ -94,3 +94,15 @@ def test_odd_rows(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 5, 6]
     assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_links_are_the_pairs_of_the_real_similarity(spark):
+    rng = random.Random(11)
+    rows = []
+    for i, n_edits in enumerate([3, 4, 5, 6, 7, 8, 9, 10] * 8):  # similarities on both sides of 0.8
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(rng, base, n_edits)))]
+    comp = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    texts = dict(rows)
+    want = {i: jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, len(rows), 2)}
+    assert {i: comp[i] == comp[i + 1] for i in want} == want and len(set(want.values())) == 2
