@@ -9,9 +9,11 @@ segments within their part of the budget, and then held to the whole Hamming bud
 expected count: four deviations, so that the estimate rejects next to none. The pairs left are decided by the real
 Jaccard similarity of their sets of shingle hashes, which are made for the documents of such pairs only.
 
-Under a key of up to CROWD fingerprints all are paired. In a larger group every member is held against LEADERS
-members of it, those whose keys are most common in all bands: the text that the others are edits of shares its keys
-with most. A pair of edits that resembles no leader under any of its keys is the one case that a crowd can miss.
+Under a key of up to CROWD fingerprints all are paired. In a larger group every member is first held against LEADERS
+members of it, those whose keys are most common in all bands, which mostly ties near copies of one text together.
+Then all pairs of its members that no chain of links joins yet are compared: the group is dealt in blocks of BLOCK,
+each two blocks to a task, so that no task holds more than two of them. Only components matter, so pairs within one
+need no look.
 
 Null and wordless texts have no key and no link. Fewer words than a shingle: the whole sequence is one.
 """
@@ -22,11 +24,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .components import components
 
 #: Words of 64 bits in the fingerprint, which are the segments of the ring, and segments in a chain.
 WIDE = 16
@@ -36,6 +40,8 @@ BANDS, ROWS = 20, 5
 #: Fingerprints under one key up to which all are paired; members of a larger group that each other is held against.
 CROWD = 16
 LEADERS = 2
+#: Members of a crowd in one block.
+BLOCK = 2048
 #: Bits above the expected distance at the least similarity: four deviations.
 SLACK = 48
 
@@ -126,6 +132,44 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     return alike.select(F.greatest("x_fp", "y_fp").alias("u"), F.least("x_fp", "y_fp").alias("v")).distinct()
 
 
+def _block_pairs(bits: int):
+    """For applyInArrow: of members (id, root, wide, block) of two blocks, the pairs of other roots within `bits`."""
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        ids, roots, block = (group.column(c).to_numpy() for c in ("id", "root", "block"))
+        words = group.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+        order = np.argsort(block, kind="stable")
+        ids, roots, words, block = ids[order], roots[order], words[order], block[order]
+        split = int(np.searchsorted(block, high)) if low != high else 0
+        xs, ys = [ids[:0]], [ids[:0]]
+        for i in range(split if low != high else len(ids)):
+            begin = split if low != high else i + 1
+            other = begin + np.flatnonzero(roots[begin:] != roots[i])
+            if len(other):
+                near = other[np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int32) <= bits]
+                xs.append(np.full(len(near), ids[i]))
+                ys.append(ids[near])
+        return pa.table({"x": pa.array(np.concatenate(xs), pa.int64()), "y": pa.array(np.concatenate(ys), pa.int64())})
+
+    return compare
+
+
+def _crowd_pairs(many: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
+    """many: id, key, n. x, y within `bits` of each other that share a key and that no chain of edges joins."""
+    roots = materialize(components(edges), "wide-roots")
+    placed = many.join(nodes.select("id", "fp"), "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = materialize(placed.select("id", "key", F.coalesce("root", "fp").alias("root"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "wide-placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
+    placed = placed.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    # with block b every pair (least, b) and (b, most) is dealt
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "root", "block")
+    dealt = dealt.join(nodes.select("id", "wide"), "id")
+    found = dealt.groupBy("key", "low", "high").applyInArrow(_block_pairs(bits), "x long, y long")
+    return materialize(found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "wide-crowd")
+
+
 def wide_links(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     """prints: _row, fp, wide, keys, sid; texts: row, text; both stored. Edges u > v between the fp of documents that resemble each other."""
     # copies fall together before anything is dealt by a key
@@ -145,4 +189,8 @@ def wide_links(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) ->
     pairs = materialize(few.union(led).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "wide-pairs")
     side = lambda n: nodes.select(F.col("id").alias(n), F.col("fp").alias(f"{n}_fp"), F.col("wide").alias(f"{n}_wide"))
     near = pairs.join(side("x"), "x").join(side("y"), "y").where(F.col("x_fp") != F.col("y_fp")).where(_resemble("x_wide", "y_wide", budget(similarity)))
-    return _verified(materialize(near.select("x", "y"), "wide-near"), nodes, texts, similarity)
+    edges = _verified(materialize(near.select("x", "y"), "wide-near"), nodes, texts, similarity)
+    if many.isEmpty():
+        return edges
+    edges = materialize(edges, "wide-edges")
+    return edges.union(_verified(_crowd_pairs(many, nodes, edges, budget(similarity)), nodes, texts, similarity))

@@ -106,3 +106,17 @@ def test_links_are_the_pairs_of_the_real_similarity(spark):
     texts = dict(rows)
     want = {i: jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, len(rows), 2)}
     assert {i: comp[i] == comp[i + 1] for i in want} == want and len(set(want.values())) == 2
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_crowds_keep_no_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_wide, "BLOCK", block, raising=False)
+    rng = random.Random(5)
+    frame, texts = [f"t{rng.randrange(5000)}" for _ in range(700)], []
+    for _ in range(40):  # pairs of near copies that share a template, all under one key
+        words = frame + [f"w{rng.randrange(10**6)}" for _ in range(155)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 10))]
+    wide = [simhash_wide.sketch(simhash.shingle_hashes(t, 5))[0] for t in texts]
+    prints = spark.createDataFrame([(i, i, w, [1], i) for i, w in enumerate(wide)], "_row long, fp long, wide array<long>, keys array<long>, sid long")
+    got = simhash_wide.wide_links(prints, spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    assert {(r.u, r.v) for r in got.collect()} == {(2 * i + 1, 2 * i) for i in range(40)}
