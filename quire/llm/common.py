@@ -41,6 +41,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """materialize(), then delete the tables that were made for df since made() was mark."""
+    out = materialize(df, name)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for gone in _made[mark:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(gone)
+        path.getFileSystem(conf).delete(path, True)
+    del _made[mark:-1]
+    return out
+
+
+def made() -> int:
+    return len(_made)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what materialize() wrote; results that still read it must be done."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -57,6 +72,12 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written with a number for each row, and that column's name: two scans of it can't number rows differently."""
+    row = spare(df, "_row")
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, since one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_ANY_CASE, lower_ascii, spare
+from .common import WORD_ANY_CASE, lower_ascii, numbered
 
 #: Up to so many windows the set is broadcast (under 100 MB); above, the same join is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -33,13 +33,14 @@ def item_windows(items: DataFrame, n: int = 8, item_id: str = "item_id", text: s
     return cut.select("_item", F.array_join("_ws", " ").alias("_w"), F.size("_ws").alias("_len"), at.cast("int").alias("_at"), F.xxhash64(F.lower(F.element_at("_ws", (at + 1).cast("int")))).alias("_key")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
     """A row for each document: _row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_hit.
 
-    _row numbers the rows of docs as scanned; longest_hit is the longest run of hit words.
+    _row is that column of docs, else numbers its rows as scanned; longest_hit is the longest run of hit words.
     """
     windows = item_windows(items, n)
-    split = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("_ws"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    split = docs.select(number.alias("_row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("_ws"))
     each = split.select("_row", "doc_id", "_ws", F.size("_ws").alias("_n"), F.posexplode_outer("_ws").alias("_pos", "_word")).withColumn("_probe", F.xxhash64(F.lower("_word")))
     start, near, low = F.col("_pos") - F.col("_at"), F.col("_ws"), F.lit(0)
     if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
@@ -81,9 +82,10 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 8, longest:
 
     Items of fewer than n words only count together with others, so that a common short phrase spares a document.
     """
-    judged, row = contamination(docs, items, n), spare(docs, "_row")
+    docs, row = numbered(docs)
+    judged = contamination(docs, items, n, row=row)
     bad = judged.where((F.col("longest_hit") >= longest) | F.col("contaminated")).select(F.col("_row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(bad, row, "left_anti").drop(row)
+    return docs.join(bad, row, "left_anti").drop(row)
 
 
 SQL = r"""

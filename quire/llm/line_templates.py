@@ -74,8 +74,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, _OUT)
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
-    """_row (place in the scan) and _lines, the numbers of its lines to drop; rows without such lines are missing."""
+def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, row: str | None = None) -> DataFrame:
+    """_row (that column of docs, else the place in the scan) and _lines, the numbers of its lines to drop; rows without such lines are missing."""
     small_batches(docs.sparkSession)
     parsed = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(_lines, "row long, text_hash long, keys array<long>, lines array<int>")
     parsed = materialize(parsed.where(F.size("keys") > 0), "template-keys")

@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, spare
+from .common import made, materialize, numbered, settle
 
 #: Ranges of the fractional rank.
 RANGES = 4096
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 29, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """_row (place in the scan), doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 29, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """_row (that column of docs, else the place in the scan), doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
+        (F.monotonically_increasing_id() if row is None else F.col(row)).alias("_row"),
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("_source"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
@@ -52,7 +52,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 29, doc_id: str
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 29) -> DataFrame:
     """docs with their shard and slot."""
-    row = spare(docs, "_row")
-    placed = assign_shards(docs, shards, seed).select(F.col("_row").alias(row), "shard", "slot")
-    kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot")]
-    return docs.select(*kept, F.monotonically_increasing_id().alias(row)).join(placed, row).drop(row)
+    docs, row = numbered(docs)
+    mark = made()
+    placed = settle(assign_shards(docs, shards, seed, row=row).select(F.col("_row").alias(row), "shard", "slot"), "shard-places", mark)
+    kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot", row)]
+    return docs.select(*kept, row).join(placed, row).drop(row)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, small_batches, spare
+from .common import made, materialize, numbered, settle, small_batches
 from .components import components
 from .simhash_wide import wide_links, wide_simhash
 
@@ -147,6 +147,8 @@ def fingerprint_hex(fp: Column) -> Column:
 
 def keep_first(docs: DataFrame, n: int = 3, bits: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """docs with one row of each component: that of the least doc_id."""
-    row = spare(docs, "_row")
-    gone = near_classes(docs, n, bits, similarity=similarity).where(F.col("_row") != F.col("first_row")).select(F.col("_row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+    docs, row = numbered(docs)
+    mark = made()
+    gone = near_classes(docs, n, bits, similarity=similarity, row=row).where(F.col("_row") != F.col("first_row")).select(F.col("_row").alias(row))
+    gone = settle(gone, "near-copies", mark)
+    return docs.join(gone, row, "left_anti").drop(row)

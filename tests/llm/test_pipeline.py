@@ -43,6 +43,21 @@ def test_near_copies_leave_one(docs):
     assert all(n == 1 for n in kept.values()) and not any(1000 <= d < 1030 for d in kept) and 4 in kept and 2003 in kept
 
 
+def test_rows_keep_their_numbers_between_scans(docs, benchmark, monkeypatch):
+    """The stages scan docs by another split from the second scan on, as when executors come or go."""
+    rows = docs.sparkSession.createDataFrame([r for r in docs.collect() if r.doc_id != 2003], SCHEMA).checkpoint()
+    real, calls = F.monotonically_increasing_id, []
+
+    def shifted():
+        calls.append(1)
+        return real() + 7 * (len(calls) - 1)
+
+    monkeypatch.setattr(F, "monotonically_increasing_id", shifted)
+    assert ids(simhash.keep_first(rows)) == ids(rows) - Counter([*range(1000, 1030), 2001])
+    assert ids(rows) - ids(decontaminate.remove_contaminated(rows, benchmark)) == Counter({3000: 1})
+    assert ids(sharding.shard_documents(rows)) == ids(rows)
+
+
 def test_benchmark_passages_go_and_short_items_spare(docs, benchmark):
     kept = ids(decontaminate.remove_contaminated(docs, benchmark))
     assert ids(docs) - kept == Counter({3000: 1})
