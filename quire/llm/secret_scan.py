@@ -31,16 +31,17 @@ _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256)
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "pass": 0.8, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "private": 0.6, "signing": 0.6, "encryption": 0.6, "key": 0.6, "salt": 0.5, "cookie": 0.5, "session": 0.5, "dsn": 0.5}
 HARMLESS = {"public", "max", "min", "count", "length", "len", "size", "limit", "file", "path", "url", "uri", "type", "hint", "label", "field", "name", "expiry", "expires", "ttl", "timeout", "column", "index", "primary", "foreign", "sort", "id"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example.*|your[-_].*|<.*>|\$\{?.*\}?|\{\{.*\}\}|none|null|true|false|undefined|test|todo|dummy|placeholder)$")
-STEMS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"cred", b"bearer", b"private", b"salt", b"cookie", b"session", b"dsn", b"://")
+#: Parts that hold none of the others, and what begins a connection string.
+STEMS = (*(s.encode() for s in SENSITIVE if not any(o != s and o in s for o in SENSITIVE)), b"://")
 
 _PAIR = re.compile(
-    r"""(?P<q>["'])?(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]{0,79})(?(q)(?P=q))[\x20\t]{0,8}(?P<op>:=|=>|=(?!=)|:(?![:/]))[\x20\t]{0,8}(?P<value>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`|[^\s"'`,;(){}\[\]<>|]{1,4096})""",
+    r"""(?:(?P<q>["'])|(?<![A-Za-z0-9_$.\-])[0-9.\-]*+)(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]*+)(?(q)(?P=q))[\x20\t]*+(?P<op>:=|=>|=(?!=)|:(?![:/]))[\x20\t]*+(?P<value>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`|[^\s"'`,;(){}\[\]<>|]++)""",
     re.A,
 )
-_MORE = re.compile(r"""[\x20\t]{0,8}[+.]?[\x20\t]{0,8}("(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')""")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"']{1,80}:(?P<value>[^\s:/@\"']{1,200})@")
+_MORE = re.compile(r"""[\x20\t]*+[+.]?[\x20\t]*+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')""")
+_URL = re.compile(r"(?<=[A-Za-z0-9+.\-])://[^\s:/@\"']*+:(?P<value>[^\s:/@\"']++)@")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,79}", re.A)
+_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-]*+", re.A)
 
 
 def name_score(name: str) -> float:

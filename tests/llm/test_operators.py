@@ -542,6 +542,17 @@ def test_secret_lexing():
     assert literals('AUTH_TOKEN = "Zx81kQ" + "93mmWe04"')[0].startswith("Zx81kQ")
 
 
+def test_secret_lexing_has_no_length_caps():
+    long = "Zx81kQ93mmWe04-" * 300
+    assert literals(f'private_key = "{long}"') == [long] == literals(f"private_key = {long}")
+    assert literals("a" * 90 + '_password = "hunter2-Blue9x"') == ["hunter2-Blue9x"]
+    assert literals('secret_key' + " " * 20 + "=" + " " * 20 + '"Zx81kQ93mmWe04"') == ["Zx81kQ93mmWe04"]
+    jwt = "eyJhbGciOi9x" * 40
+    assert literals(f"https://oauth2:{jwt}@host/x") == [jwt] and literals("redis://:Tr0ub4dor-3x@host") == ["Tr0ub4dor-3x"]
+    for part in secret_scan.SENSITIVE:
+        assert any(stem in part.encode() for stem in secret_scan.STEMS), part
+
+
 # registration
 
 
