@@ -536,7 +536,7 @@ def isbn_validate(spark, sf):
 
 @query()
 def find_isbns(spark, sf):
-    line = F.concat(F.substring("text", 1, 500), F.lit("\nISBN-13: 978-0-306-40615-7\n"), F.substring("text", 500, 2000))
+    line = F.concat(F.lit("ISBN-13: 978-0-306-40615-7\n"), F.col("text"))
     return curate.find_isbns(texts(spark, sf).select("book", line.alias("text")))
 
 
@@ -579,7 +579,7 @@ def attribution_check(spark, sf):
 
 @query("SELECT doc_id AS id, 3 AS headings, 2 AS mirrored, 2 AS longest_in_order FROM documents")
 def heading_mirror(spark, sf):
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("# Chapter 1. First Things\n\n"), F.substring("text", 1, 100), F.lit("\n\n## Second Things\n\n### Own heading\n")).alias("text"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("# Chapter 1. First Things\n\n"), F.col("text"), F.lit("\n\n## Second Things\n\n### Own heading\n")).alias("text"))
     chapters = spark.createDataFrame([(0, "1. First things"), (1, "Second Things"), (2, "Third things")], "pos int, title string")
     m = audit.mirrored_headings(docs, chapters)
     return m.select("id", *[F.col(c).cast("int").alias(c) for c in ("headings", "mirrored", "longest_in_order")])

@@ -206,3 +206,13 @@ def test_sqlite_source(spark, tmp_path):
     db.close()
     found = open_library(spark, path, partitions=2)
     assert [r["id"] for r in found.select("tags:x and cover:false").collect()] == [2] and found.table("notes").count() == 0
+
+
+def test_registered_queries_take_whole_texts(spark, tmp_path):
+    from quire import queries
+
+    far = "word " * 900 + "ISBN-13: 978-1-86197-876-9\n# Far Heading\n" + "word " * 900
+    spark.createDataFrame([(1, far, "en", "s", len(far))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.isbn13 for r in queries.QUERIES["find_isbns"](spark, str(tmp_path)).collect()}
+    assert found == {"9780306406157", "9781861978769"}
+    assert [r.headings for r in queries.QUERIES["heading_mirror"](spark, str(tmp_path)).collect()] == [4]
