@@ -41,27 +41,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
-    """materialize(), then delete the tables that were made for df since made() was mark."""
+def settle(df: DataFrame, name: str, mark: int, keep: int = 0) -> DataFrame:
+    """materialize(), then delete the tables that were made for df since made() was mark, but the last `keep` of them."""
     out = materialize(df, name)
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for gone in _made[mark:-1]:
-        path = jvm.org.apache.hadoop.fs.Path(gone)
-        path.getFileSystem(conf).delete(path, True)
-    del _made[mark:-1]
+    end = len(_made) - 1 - keep
+    for gone in _made[mark:end]:
+        _delete(df.sparkSession, gone)
+    del _made[mark:end]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def plan_parts(df: DataFrame, each: int) -> int:
+    """Partitions of `each` bytes by the optimizer's estimate of df (of files: what they take); without one, the session's number."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 55:  # nothing is known of it
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // each))
+
+
 def made() -> int:
     return len(_made)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what materialize() wrote; results that still read it must be done."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _made.pop())
 
 
 def spare(df: DataFrame, name: str) -> str:
