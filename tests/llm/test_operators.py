@@ -346,6 +346,37 @@ def test_sharding(request, which):
         assert max(n) - min(n) <= 1
 
 
+def split_groups(got, room):
+    """Groups of equal texts, by size and checksum, that lie in several shards though they would fit in one."""
+    shards, n = defaultdict(set), Counter()
+    for r in got:
+        shards[r["size"], r.text_crc32].add(r.shard)
+        n[r["size"], r.text_crc32] += 1
+    return [g for g in n if len(shards[g]) > 1 and n[g] <= room]
+
+
+def test_shards_keep_equal_texts_together(spark, docs):
+    for sf in ("sf0.001", "sf0.1"):
+        got = sharding.assign_shards(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+        assert not split_groups(got, len(got) // 16)
+
+
+@pytest.mark.parametrize("hot", [4, 1024])
+def test_shards_of_groups_of_all_sizes(spark, monkeypatch, hot):
+    """A third of all rows is one text, and next to no row is single: groups that can't fit are split, no others."""
+    monkeypatch.setattr(sharding, "HOT", hot)
+    rows = [(i, "the same text", f"s{i % 3}") for i in range(2000)] + [(5000 + i, f"copy {i // 7}", f"s{i % 2}") for i in range(2800)] + [(9000 + i, f"one {i}", None) for i in range(1200)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    n = Counter(r.shard for r in got)
+    assert sum(n.values()) == 6000 and set(n.values()) == {375} and not split_groups(got, 375)
+    again = sharding.assign_shards(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(3)).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
+    full = [(i, f"pair {i // 2}", "s") for i in range(1000)]  # pairs only: shards of 62 and 63 rows
+    got = sharding.assign_shards(spark.createDataFrame(full, "doc_id long, text string, source string")).collect()
+    n = Counter(r.shard for r in got)
+    assert max(n.values()) - min(n.values()) <= 1 and len(split_groups(got, 62)) <= 16
+
+
 def test_shards_match_the_mixture(spark):
     rows = [(i, f"text {i}", "abc"[0 if i % 10 < 6 else 1 if i % 10 < 9 else 2]) for i in range(8000)]
     out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
