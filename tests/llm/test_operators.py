@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import components, decontaminate, fingerprints, langid, licenses, line_templates, mixing, queries, secret_scan, sharding, simhash, suffix_tree
+from quire.llm import components, decontaminate, fingerprints, hashes, langid, licenses, line_templates, mixing, queries, secret_scan, sharding, simhash, suffix_tree
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, taken string, k int"
@@ -236,17 +237,49 @@ def test_license_containment_suppresses():
 # 4: line templates
 
 
-def brute_lines(texts, least):
-    where = defaultdict(set)
-    for t in set(t for t in texts if t):
-        for line in t.split("\n"):
-            for k in line_templates.template_keys(line.encode()):
-                where[k].add(t)
+def brute_lines(texts, least, short=6, passage=50, levels=(5, 100)):
+    """Line templates by their definition, over tokens."""
+    blank = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    mask = lambda tokens: ["<*>" if re.search("[0-9]", x) else x for x in tokens]
+    leaf = lambda m: (len(m), *m[:2])
+    common = Counter()
+    for t in texts:
+        for line in (t or "").split("\n"):
+            m = mask(blank(line))
+            common.update((leaf(m), i, x) for i, x in enumerate(m) if i >= 2 and x != "<*>")
+
+    def keys(line):
+        m = mask(blank(line))
+        made = [("exact", tuple(m))] if m else []
+        fields = sum(x == "<*>" for x in m)
+        for level in levels:
+            g = [x if i < 2 or common[leaf(m), i, x] >= level else "<*>" for i, x in enumerate(m)]
+            fixed = sum(x != "<*>" for x in g)
+            if len(m) - fixed > fields and fixed >= 3 and fixed >= 0.6 * len(m):
+                made.append(("general", tuple(g)))
+            fields = max(fields, len(m) - fixed)
+        return made
+
+    different = {t for t in texts if t is not None}
+    where = Counter(k for t in different for k in {k for line in t.split("\n") for k in keys(line)})
     out = []
     for t in texts:
-        lines = t.split("\n") if t is not None else []
-        gone = [any(len(where[k]) >= least for k in line_templates.template_keys(x.encode())) for x in lines]
-        out.append((len(lines), sum(gone), None if t is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)))
+        if t is None:
+            out.append((0, 0, None))
+            continue
+        lines, gone, run = t.split("\n"), set(), []
+        for i, line in [*enumerate(lines), (len(lines), "")]:
+            size, ks = len(blank(line)), keys(line)
+            recurs = [k for k in ks if where[k] >= max(least, 1e-5 * len(different) if k[0] == "general" else 0)]
+            if recurs and (size >= short or max(where[k] for k in ks) >= max(least, 0.001 * len(different))):
+                gone.add(i)
+            if ks and size >= short and where[ks[0]] > 1:
+                run.append((i, size))
+            else:
+                if sum(n for _, n in run) >= passage:
+                    gone |= {i for i, _ in run}
+                run = []
+        out.append((len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
     return Counter(out)
 
 
@@ -258,12 +291,37 @@ def test_line_templates(request, which):
 
 
 def test_line_templates_generalise(spark):
-    line = "Posted on {} by user {} in the {} section of this site for all readers"
-    texts = [f"unique opening words number {'abcdefgh'[i] * 3} stand here alone\n" + line.format(2000 + i, i * 7, ["news", "sports", "local", "world", "arts", "food"][i]) for i in range(6)]
+    """Several fields in one line, short lines and long passages; copies and lines of their own stay."""
+    pick = lambda i, *xs: xs[i % len(xs)]
+    line = "Posted by user {} in the {} section of this site for all {} readers"
+    own = lambda i: "opening words " + " ".join("abcdefghij"[int(c)] * 3 for c in str(1000 + i * 37)) + " stand here alone"
+    texts = [own(i) + "\n" + line.format(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}q", pick(i, "london", "paris", "rome") + chr(97 + i % 23), "xyzw"[i % 4] * (1 + i % 9)) + f"\nlogin of {chr(97 + i % 26)}{chr(97 + i // 26)}z failed" for i in range(60)]
     copies = ["one text that was copied\nagain and again without any change to its words"] * 9
-    got = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")).collect()}
-    assert all(got[i].n_dropped == 1 and got[i].text == texts[i].split("\n")[0] for i in range(6))
-    assert all(got[i].n_dropped == 0 and got[i].text == copies[0] for i in range(6, 15))
+    passage = "\n".join(" ".join(f"word{chr(97 + (i * k) % 26)}{chr(97 + k)}" for k in range(14)) for i in range(1, 5))
+    twice = [f"{own(900 + i)}\n{passage}\n{own(950 + i)}" for i in range(2)]
+    rows = list(enumerate(texts + copies + twice))
+    got = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == own(i) for i in range(60)), [got[i].text for i in range(3)]
+    assert all(got[i].n_dropped == 0 and got[i].text == copies[0] for i in range(60, 69))
+    assert all(got[69 + i].text == f"{own(900 + i)}\n{own(950 + i)}" for i in range(2))
+    assert Counter((r.n_lines, r.n_dropped, r.text) for r in got.values()) == brute_lines([t for _, t in rows], 5)
+
+
+def test_long_texts_of_many_lines(spark):
+    """50,000 lines, half of which recur, take time in proportion; windows of the hash don't show."""
+    common = [f"line {chr(97 + i % 26)}x{i // 26:b}y is in all of the texts" for i in range(25000)]
+    texts = ["\n".join(x for i, c in enumerate(common) for x in (c, " ".join(f"own{t}{chr(97 + j)}" for j in range(7)) + f" {chr(97 + i % 26)}")) for t in "abcdefg"]
+    began = time.time()
+    got = line_templates.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert all(r.n_lines == 50000 and r.n_dropped >= 25000 and "own" in r.text for r in got) and time.time() - began < 60
+    data = [b"a b\n" + b"x" * 3000 + b" y\n\n z9", b"", b" \t\n", "é z9\n".encode()]
+    lines = hashes.Lines(data)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(hashes, "_WINDOW", 3)
+        again = hashes.Lines(data)
+    assert (lines.hash == again.hash).all() and len(set(lines.hash.tolist())) == 6
+    assert lines.n.tolist() == [2, 2, 0, 1, 0, 0, 0, 2, 0] and lines.number.tolist() == [0, 1, 2, 3, 0, 0, 1, 0, 1]
+    assert lines.digit.tolist() == [False] * 4 + [True, False, True]
 
 
 # 5: mixing
