@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ _made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own only where none is set."""
+    """The folder that driver and executors share. One of our own only where none is set, and on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -83,9 +86,16 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written with a number for each row, and that column's name: two scans of it can't number rows differently."""
+    """df with an identity for each row, and that column's name: two scans of it can't tell rows apart differently.
+
+    Rows of files are known by file and place in it, however a scan is split. Any other df is written with numbers.
+    """
     row = spare(df, "_row")
-    return materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    try:
+        known = df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+        return known.select(*[F.col(f"`{c}`") for c in df.columns], row), row
+    except AnalysisException:
+        return materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def small_batches(spark: SparkSession) -> None:

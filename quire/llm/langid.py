@@ -7,7 +7,7 @@ afresh every BLOCK bytes, so that all blocks of a batch are walked side by side
 costs no more a byte than a short one. All of every text is parsed.
 
 Null texts and texts without a letter: `und`, score 0. Ties: the first language by name. No labelled rows: every
-text is `und`. Repeated rows are judged one by one. Extra columns are never read.
+text is `und`. Repeated rows are judged one by one. Extra columns are never read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ SAMPLE_ROWS = 64
 SAMPLE_BYTES = 400
 #: Bytes between fresh starts of the parse.
 BLOCK = 4096
-#: Bits a byte above which no learned language explains a text (languages reach 1 to 3, noise 5 and more), and the
-#: bytes from which on that can be told: a word or two is never rejected.
+#: A text is explained by a language in which it takes REJECT_BITS a byte (languages reach 1 to 3, noise 5 and more)
+#: and SPARE phrases more at most, since the phrases at a text's ends are cut short.
 REJECT_BITS = 4.5
-REJECT_BYTES = 256
+SPARE = 2
 
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[a-z]")
@@ -151,7 +151,8 @@ class Model:
                     pred[i], bits[i] = self.langs[best[i]], ranked[0, i]
                     score[i] = min(1.0, max(0.0, 1 - ranked[0, i] / max(second[i], 1e-9)))
         sizes = np.array([len(x) for x in norms])
-        explained = (np.array(pred, object) != "und") & ((sizes < REJECT_BYTES) | ~(bits > REJECT_BITS))
+        most = REJECT_BITS * sizes + SPARE * (self.bits[best] if self.langs else 0.0)
+        explained = (np.array(pred, object) != "und") & ~(bits * sizes > most)
         return pd.DataFrame({"lang_pred": pred, "score": score, "bits": bits, "explained": explained.astype(bool)})
 
 
@@ -198,7 +199,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without those that have no language: `und`, or none that explains a text of REJECT_BYTES and more."""
+    """docs without those that have no language: `und`, or none that explains the text. Empty table: no rows."""
     predict = predictor(docs, fit(docs, fold(F.col(doc_id), 4) != 2, doc_id, text, lang))
     name = spare(docs, "_r")
     judged = docs.withColumn(name, predict(F.col(text)))

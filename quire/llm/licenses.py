@@ -1,11 +1,11 @@
 """License scans: ordered signature rules behind a keyword gate, overlaps settled by priority and containment.
 
-A text becomes its lower-cased words joined by single spaces. Texts without any gate stem are done. Else every
-rule whose keyword occurs is run; detections are then taken in order of priority, length and place, and one whose
-interval lies within that of one taken before is suppressed. Three plain phrases (base) are counted besides and
+A text becomes its lower-cased words joined by single spaces. Every rule one of whose keywords occurs is run (what a
+rule matches always holds one); detections are then taken in order of priority, length, place and rule, and one
+whose interval lies within that of one taken before is suppressed. Three plain phrases (base) are counted besides and
 always keep their labels.
 
-Null or empty texts: zero words, no labels, score 0. Very long texts: one pass each, rules only behind the gate.
+Null or empty texts: zero words, no labels, score 0. Empty table: no rows. Ties of two rules: the earlier one's label. Very long texts: one pass each, rules only behind the gate.
 Repeated rows are scanned one by one; other columns of the input are kept by scan() and never read.
 """
 
@@ -23,12 +23,9 @@ from .common import WORD_BYTES
 
 BASE = ((b" mit license ", "mit"), (b" apache license ", "apache"), (b" general public license ", "gpl"))
 
-#: Every rule's texts hold one of these.
-STEMS = (b"licen", b"copyright", b"copyleft", b"warrant", b"redistribut", b"permission", b"public domain", b"creative commons", b"rights reserved", b"spdx", b"proprietary", b"open source", b"unlicense", b" wtfpl", b"confidential", b"royalt", b"agreement", b" eula ", b"liab")
-
-#: label, keyword, pattern of the name in lower-case words.
+#: label, keyword (or several, one for each alternative), pattern of the name in lower-case words.
 NAMES = (
-    ("mit", b"mit", r"(?:the )?(?:mit|expat|x11)(?: style)?"),
+    ("mit", (b"mit", b"expat", b"x11"), r"(?:the )?(?:mit|expat|x11)(?: style)?"),
     ("mit-0", b"mit", r"mit 0|mit no attribution"),
     ("apache-2.0", b"apache", r"(?:the )?apache(?: software)?(?: licen[sc]e)?(?: version)? v?2(?: 0)?"),
     ("apache-1.1", b"apache", r"(?:the )?apache(?: software)?(?: licen[sc]e)?(?: version)? v?1 1"),
@@ -46,7 +43,7 @@ NAMES = (
     ("bsd-2-clause", b"bsd", r"(?:the )?(?:bsd 2 clause|simplified bsd|2 clause bsd|freebsd)"),
     ("bsd-3-clause", b"bsd", r"(?:the )?(?:bsd 3 clause|new bsd|modified bsd|revised bsd|3 clause bsd)"),
     ("bsd-4-clause", b"bsd", r"(?:the )?(?:bsd 4 clause|original bsd|old bsd|4 clause bsd)"),
-    ("0bsd", b"0bsd", r"(?:the )?(?:0bsd|zero clause bsd)"),
+    ("0bsd", (b"0bsd", b"zero clause bsd"), r"(?:the )?(?:0bsd|zero clause bsd)"),
     ("bsd", b"bsd", r"(?:a |the )?bsd(?: style)?"),
     ("isc", b"isc", r"(?:the )?isc"),
     ("mpl-1.1", b"mozilla", r"(?:the )?mozilla public licen[sc]e(?: version)? v?1 1"),
@@ -82,7 +79,7 @@ NAMES = (
     ("cc-by-nd-4.0", b"attribution", r"(?:the |a )?creative commons attribution no ?deriv(?:ative)?s(?: 4 0)?(?: international)?"),
     ("cc-by-sa-4.0", b"attribution", r"(?:the |a )?creative commons attribution share ?alike(?: 4 0)?(?: international)?"),
     ("cc-by-4.0", b"attribution", r"(?:the |a )?creative commons attribution(?! n| s)(?: 4 0)?(?: international)?"),
-    ("python-2.0", b"python", r"(?:the )?(?:python software foundation|psf)(?: licen[sc]e)?(?: version)?(?: v?2(?: 0)?)?"),
+    ("python-2.0", (b"python software", b"psf"), r"(?:the )?(?:python software foundation|psf)(?: licen[sc]e)?(?: version)?(?: v?2(?: 0)?)?"),
     ("php-3.01", b"php", r"(?:the )?php(?: licen[sc]e)?(?: version)?(?: v?3 01)?"),
     ("ruby", b"ruby", r"(?:the )?ruby"),
     ("openssl", b"openssl", r"(?:the )?openssl"),
@@ -147,33 +144,31 @@ WORDING = (
     ("proprietary", b"proprietary", r"(?:proprietary and confidential|confidential and proprietary|proprietary (?:licen[sc]e|software|information))", 4),
     ("proprietary", b"permission", r"(?:may not be|unauthori[sz]ed) (?:reproduced|copied|copying|distributed|redistributed)\b.{0,60}without (?:the )?(?:prior |express |written )*permission", 4),
     ("eula", b"end user", r"end user licen[sc]e agreement", 4),
-    ("non-commercial", b"commercial", r"(?:for )?(?:non ?commercial|personal) use only", 5),
-    ("educational", b"educational", r"for (?:educational|research|academic)(?: and \S+)? (?:use|purposes) only", 5),
+    ("non-commercial", b"use only", r"(?:for )?(?:non ?commercial|personal) use only", 5),
+    ("educational", (b"use only", b"purposes only"), r"for (?:educational|research|academic)(?: and \S+)? (?:use|purposes) only", 5),
     ("royalty-free", b"royalt", r"royalty free(?: licen[sc]e)?", 6),
     ("dual-licensed", b"dual licen", r"dual licen[sc](?:ed|e|ing)", 6),
 )
 
 
-def _rules() -> list[tuple[bytes, re.Pattern, str, int, float]]:
+def _rules() -> list[tuple[tuple[bytes, ...], re.Pattern, str, int, float]]:
     made = [(key, rf" (?:{pattern})(?= )", label, priority, 1.0 if priority < 2 else 0.5) for label, key, pattern, priority in WORDING]
     for label, key, name in NAMES:
         made += [(key, " " + frame.format(name=name) + "(?= )", label, priority, weight) for _, priority, frame, weight in FRAMES]
-    return [(key, re.compile(pattern.encode()), label, priority, weight) for key, pattern, label, priority, weight in made]
+    return [(key if isinstance(key, tuple) else (key,), re.compile(pattern.encode()), label, priority, weight) for key, pattern, label, priority, weight in made]
 
 
 RULES = _rules()
-_BY_KEY: dict[bytes, list[int]] = {}
+_BY_KEYS: dict[tuple[bytes, ...], list[int]] = {}
 for _i, _rule in enumerate(RULES):
-    _BY_KEY.setdefault(_rule[0], []).append(_i)
+    _BY_KEYS.setdefault(_rule[0], []).append(_i)
 
 
 def detections(norm: bytes) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) of what is left after suppression; norm: words with a space before and after each."""
-    if not any(stem in norm for stem in STEMS):
-        return []
     found = []
-    for key, rules in _BY_KEY.items():
-        if key in norm:
+    for keys, rules in _BY_KEYS.items():
+        if any(key in norm for key in keys):
             for i in rules:
                 _, pattern, label, priority, weight = RULES[i]
                 found += [(priority, m.start() - m.end(), m.start(), i, m.end(), label, weight) for m in pattern.finditer(norm)]
@@ -198,8 +193,8 @@ def detections(norm: bytes) -> list[tuple[int, int, str, float]]:
 def scan_text(raw: bytes | None) -> tuple:
     words = (raw or b"").translate(WORD_BYTES).split()
     norm = b" " + b" ".join(words) + b" " if words else b""
-    if b" license " not in norm and not any(stem in norm for stem in STEMS):
-        return len(words), 0, None, None, "", "", 0.0
+    if not words:
+        return 0, 0, None, None, "", "", 0.0
     places, base, spans = [], set(), []
     for phrase, label in BASE:
         at = norm.find(phrase)
@@ -218,7 +213,7 @@ def scan_text(raw: bytes | None) -> tuple:
             upto = e
     first = norm.count(b" ", 0, min(places)) if places else None
     last = norm.count(b" ", 0, max(places)) if places else None
-    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | {x[2] for x in kept})), min(1.0, covered / len(words)) if words else 0.0
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | {x[2] for x in kept})), min(1.0, covered / len(words))
 
 
 SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "n_base", "first_word", "last_word")] + [T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -204,6 +204,7 @@ def test_no_training_rows(spark, none):
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_license_base(request, which):
     df = request.getfixturevalue(which)
+    assert df.limit(0).select(licenses.scan(F.col("text"))).count() == 0
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
     for text, r in df.select("text", licenses.scan(F.col("text"))).collect():
         words = plain(text)
@@ -226,6 +227,35 @@ def test_license_rules():
     assert label("He has a licence to drive and was in agreement.") == [""]
 
 
+def brute_licenses(text):
+    """All rules, ungated; a detection stays unless one that comes before it and stays holds it."""
+    norm = " " + " ".join(plain(text)) + " "
+    seen = [(rule[3], m.start() - m.end(), m.start(), i, m.end(), rule[2]) for i, rule in enumerate(licenses.RULES) for m in rule[1].finditer(norm.encode())]
+    stay = []
+    for _, _, start, _, end, label in sorted(seen):
+        if not any(s <= start and end <= e for s, e, _ in stay):
+            stay.append((start, end, label))
+    raw = norm.encode()
+    covered, base = set(), set()
+    phrases = [(m.start(), m.start() + len(p) - 1, name) for p, name in ((b" mit license ", "mit"), (b" apache license ", "apache"), (b" general public license ", "gpl")) for m in re.finditer(b"(?=" + p + b")", raw)]
+    for start, end, label in stay + phrases:
+        covered |= {i for i in range(start, end) if raw[i : i + 1] == b" "}
+        base.add(label)
+    return ",".join(sorted(base)), min(1.0, len(covered) / max(1, len(plain(text))))
+
+
+UNGATED = ("released under the GPL v3", "available under the terms of the MPL 2.0", "for non-commercial use only", "for educational purposes only", "All advertising materials mentioning features or use of this software", "under the Expat license", "Zero Clause BSD license", "licensed under the PSF license", "for personal use only", "x11 license")
+
+
+def test_license_labels_against_all_rules(spark, odd, docs):
+    more = spark.createDataFrame([(t,) for t in UNGATED], "text string")
+    for df in (odd, docs, more):
+        for text, r in df.select("text", licenses.scan(F.col("text"))).collect():
+            labels, score = brute_licenses(text)
+            assert r.labels == labels and r.score == pytest.approx(score), text
+    assert all(r.r.labels for r in more.select(licenses.scan(F.col("text")).alias("r")).collect())
+
+
 def test_license_containment_suppresses():
     norm = b" licensed under the gnu general public license version 3 "
     kept = licenses.detections(norm)
@@ -605,6 +635,7 @@ def brute_secrets(text):
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_secret_base(request, which):
     df = request.getfixturevalue(which)
+    assert df.limit(0).select(secret_scan.scan(F.col("text"))).count() == 0
     for text, r in df.select("text", secret_scan.scan(F.col("text"))).collect():
         base, counts = brute_secrets(text)
         assert [r.n_assign, r.n_access, r.n_hex] == counts and r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
