@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +24,19 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
 
 
+def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """page() with total (rows in all) and next_offset (null on the last page) on each row; the count runs beside the page."""
+    size = df.agg(F.count("*").alias("total"))
+    more = F.when(F.col("total") > offset + limit, F.lit(offset + limit)).cast("int")
+    return page(df, order, limit, offset).join(F.broadcast(size)).withColumn("next_offset", more)  # one row
+
+
+def page_ahead(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """page() with `more`: whether another row follows, known from one row beyond the page and no count."""
+    ahead = page(df, order, limit + 1, offset).withColumn("_i", F.row_number().over(W.orderBy(*order)))
+    return ahead.withColumn("more", F.count("*").over(W.partitionBy()) > limit).where(F.col("_i") <= limit).drop("_i")
+
+
 def filter_books(
     lib: Library, q=None, title=None, author=None, tag=None, series=None, publisher=None, language=None, format=None, identifier=None,
     min_rating=None, added_after=None, added_before=None, published_after=None, published_before=None, has_annotations=None, query=None, virtual_library=None,
@@ -230,14 +245,14 @@ def book_notes(lib: Library, book: int) -> DataFrame:
 
 
 def virtual_libraries(lib: Library) -> DataFrame:
-    """name, query, books (null with an error); all valid ones are counted in one pass over the flags."""
-    rows = []
+    """name, query, books (null with an error); the books of all valid ones are counted in one job."""
+    found, wrong = [], []
     for name, query in sorted((lib.preference("virtual_libraries") or {}).items()):
         try:
-            rows.append((name, query, lib.select(query).count(), None))
+            found.append(lib.select(query).agg(F.count("*").alias("books")).select(F.lit(name).alias("name"), F.lit(query).alias("query"), "books", F.lit(None).cast("string").alias("error")))
         except QueryError as why:
-            rows.append((name, query, None, str(why)))
-    return lib.spark.createDataFrame(rows, "name string, query string, books long, error string")
+            wrong.append((name, query, None, str(why)))
+    return reduce(DataFrame.unionAll, found, lib.spark.createDataFrame(wrong, "name string, query string, books long, error string"))
 
 
 def status(lib: Library) -> DataFrame:

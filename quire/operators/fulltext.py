@@ -49,6 +49,10 @@ class Both:
     right: object
 
 
+#: Names of the one column that is searched; `name:` before a term is one of these.
+COLUMNS = ("body", "text")
+
+
 class MatchError(ValueError):
     pass
 
@@ -68,7 +72,7 @@ def build_match(query: str, mode: str = "all"):
     return reduce(lambda a, b: Both("and" if mode == "all" else "or", a, b), units)
 
 
-_RAW = re.compile(r'\s*(?:(?P<near>NEAR\s*\()|(?P<op>AND|OR|NOT)\b|(?P<mark>[(),])|(?P<initial>\^)?\s*(?:\w+\s*:\s*)?(?:"(?P<quoted>(?:[^"]|"")*)"|(?P<word>[^\s"(),*^:]+))\s*(?P<star>\*)?)')
+_RAW = re.compile(r'\s*(?:(?P<near>NEAR\s*\()|(?P<op>AND|OR|NOT)\b|(?P<mark>[(),])|(?:(?P<column>\w+)\s*:\s*)?(?P<initial>\^)?\s*(?:"(?P<quoted>(?:[^"]|"")*)"|(?P<word>[^\s"(),*^:]+))\s*(?P<star>\*)?)')
 
 
 def parse_match(query: str):
@@ -80,6 +84,8 @@ def parse_match(query: str):
         if not m or m.end() == at:
             raise MatchError(f"can't read {query[at : at + 30]!r}")
         at = m.end()
+        if m["column"] and m["column"].lower() not in COLUMNS:
+            raise MatchError(f"no such column: {m['column']}")
         items.append(m)
 
     def phrase(m) -> Phrase:
@@ -139,11 +145,12 @@ def parse_match(query: str):
 
 @dataclass
 class Index:
-    """postings: rid, term, positions; rows: rid, book, fmt, dl."""
+    """postings: rid, term, positions; rows: rid, book, fmt, dl; stats (n, avg of dl) if they are stored."""
 
     postings: DataFrame
     rows: DataFrame
     stem: bool = False
+    stats: DataFrame | None = None
 
     def vocabulary(self) -> DataFrame:
         """term, rows that hold it, occurrences."""
@@ -163,13 +170,20 @@ def build_index(texts: DataFrame, stem: bool = False) -> Index:
 
 
 def save_index(index: Index, path: str) -> None:
-    """Sorted by term, so that a search reads few row groups."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "rid").write.mode("overwrite").parquet(f"{path}/postings")
+    """Sorted by term, in small row groups, so that a search reads few of them."""
+    postings = index.postings.repartitionByRange("term").sortWithinPartitions("term", "rid")
+    postings.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
     index.rows.write.mode("overwrite").parquet(f"{path}/rows")
+    index.rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark, path: str, stem: bool = False) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), stem)
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), stem, spark.read.parquet(f"{path}/stats"))
+
+
+def compact_index(spark, path: str, to: str) -> None:
+    """Rewrite an index that many small syncs have left in many files: sorted again, in few."""
+    save_index(load_index(spark, path), to)
 
 
 def units_of(tree, positive: bool = True) -> list:
@@ -242,7 +256,7 @@ def search(index: Index, tree, allowed: DataFrame | None = None) -> DataFrame:
     """rid, book, fmt, score (higher is better). Statistics are those of all rows; allowed (book) only filters."""
     frame, scored, condition = frequencies(index, tree)
     use = [name for name, positive in scored if positive]
-    stats = index.rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
+    stats = (index.rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")) if index.stats is None else index.stats).first()
     counts = frame.agg(*[F.count_if(F.col("_in" + c) > 0).alias(c) for c in use]).first()
     n = stats["n"]
     idf = [max(math.log((n - counts[c] + 0.5) / (counts[c] + 0.5)), IDF_FLOOR) for c in use]
@@ -263,3 +277,17 @@ def best_per_book(hits: DataFrame) -> DataFrame:
 def search_books(index: Index, query: str, mode: str = "all", allowed: DataFrame | None = None, limit: int = 10) -> DataFrame:
     hits = best_per_book(search(index, build_match(query, mode), allowed))
     return hits.orderBy(F.round("score", 6).desc(), "book").limit(limit)
+
+
+def search_texts(index: Index, texts: DataFrame, query: str, mode: str = "all", allowed: DataFrame | None = None, limit: int = 10, snippets: int = 3, width: int = 300) -> DataFrame:
+    """The whole search in one call: the best format of each book by rank, with snippets of the texts that are shown.
+
+    texts: rid, text. book, fmt, score, snippets (offset, text, matched); only the texts of the page are read for them.
+    """
+    from .snippets import best_snippets
+
+    found = best_per_book(search(index, build_match(query, mode), allowed)).orderBy(F.round("score", 6).desc(), "book").limit(limit)
+    if not snippets:
+        return found.select("book", "fmt", "score")
+    shown = found.join(texts.select("rid", "text"), "rid")
+    return shown.select("book", "fmt", "score", best_snippets(F.col("text"), query, mode, snippets, width, index.stem).alias("snippets"))

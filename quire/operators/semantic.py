@@ -145,8 +145,8 @@ def keyword_query(queries: list[str]) -> list[str]:
     return list(dict.fromkeys(words))[:QUERY_WORDS]
 
 
-def hybrid_search(passages: DataFrame, queries: list[str], k: int, mode: str = "hybrid", allowed: DataFrame | None = None, embedder: Embedder | None = None) -> DataFrame:
-    """passages: id, book, off, len, heading, kind, text, vec (int8). The k best: score, vector, keyword_rank, low_confidence."""
+def hybrid_search(passages: DataFrame, queries: list[str], k: int, mode: str = "hybrid", allowed: DataFrame | None = None, embedder: Embedder | None = None, index=None) -> DataFrame:
+    """index: full-text index of the passages, if there is one. passages: id, book, off, len, heading, kind, text, vec (int8). The k best: score, vector, keyword_rank, low_confidence."""
     from .fulltext import Both, Phrase, build_index, search
 
     pool = max(4 * k, 200)
@@ -157,7 +157,7 @@ def hybrid_search(passages: DataFrame, queries: list[str], k: int, mode: str = "
     by_vector = ranked(scored, "vector", pool) if mode != "keyword" else none
     by_word, words = none, keyword_query(queries) if mode != "vector" else []
     if words:
-        index = build_index(passages.select(F.col("id").alias("rid"), "book", F.lit("").alias("fmt"), "text"))
+        index = index or build_index(passages.select(F.col("id").alias("rid"), "book", F.lit("").alias("fmt"), "text"))
         hits = search(index, reduce(lambda a, b: Both("or", a, b), [Phrase((w,)) for w in words]), allowed)
         by_word = ranked(hits.withColumnRenamed("rid", "id"), "score", pool)
     found = fuse(by_vector, by_word).join(scope.drop("vec"), "id").join(by_word.withColumnRenamed("rank", "keyword_rank"), "id", "left").join(scored.select("id", "vector"), "id", "left")

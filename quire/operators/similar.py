@@ -49,3 +49,25 @@ def similar_content(index: Index, book: int, sample: DataFrame, limit: int = 10)
         return index.rows.select("book", F.lit(0.0).alias("score")).limit(0)
     hits = search(index, reduce(lambda a, b: Both("or", a, b), [Phrase((t,)) for t in terms])).where(F.col("book") != book)
     return hits.groupBy("book").agg(F.max("score").alias("score")).orderBy(F.round("score", 6).desc(), "book").limit(limit)
+
+
+def similar_books(lib: Library, book: int, method: str = "auto", limit: int = 10, index: Index | None = None, texts: DataFrame | None = None, passages: DataFrame | None = None) -> DataFrame:
+    """book, score, method. auto: by vectors if there are passages, else by metadata, and by content where that finds nothing.
+
+    index and texts (book, text) serve `content`; passages (book, vec) serve `semantic`.
+    """
+    from .semantic import similar_by_centroid
+
+    if method not in ("auto", "metadata", "content", "semantic"):
+        raise ValueError(f"unknown method: {method}")
+    by_content = lambda: similar_content(index, book, texts.where(F.col("book") == book).select("text"), limit).withColumn("method", F.lit("content"))
+    if method == "semantic" or method == "auto" and passages is not None:
+        if passages is None:
+            raise ValueError("no passage index")
+        return similar_by_centroid(passages, book, limit).withColumn("method", F.lit("semantic"))
+    if method == "content":
+        return by_content()
+    found = similar_metadata(lib, book, limit).withColumn("method", F.lit("metadata"))
+    if method == "auto" and index is not None and found.isEmpty():
+        return by_content()
+    return found

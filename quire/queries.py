@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import isbn, text
-from quire.operators import audit, catalog, curate, fulltext, semantic, similar, snippets, structure
+from quire.operators import audit, catalog, curate, figures, fulltext, passage_index, semantic, similar, snippets, structure
 from quire.plans.query_language import Compiler
 from quire.sources import markup
+from quire.stored import build_once, folder
 from quire.streaming import changes, logs
 from quire.testbed import TODAY, documents_library, parts_library, read, texts
 
@@ -98,6 +100,23 @@ def search_books_page(spark, sf):
     return catalog.search_books(documents_library(spark, sf), author="7", limit=20, offset=5).select("id", "title")
 
 
+_FOUND = f"WITH {BOOKS}, {TAGS}, {AUTHORS}, f AS (SELECT id, title FROM books b WHERE EXISTS (SELECT 1 FROM authors x WHERE x.book = b.id AND {_has('x.value', '7')}))"
+
+
+@query(f"{_FOUND}, t AS (SELECT count(*) AS total FROM f) SELECT id, total, CASE WHEN total > 25 THEN 25 END AS next_offset FROM f, t ORDER BY lower(title), id LIMIT 20 OFFSET 5")
+def search_books_total(spark, sf):
+    lib = documents_library(spark, sf)
+    found = catalog.sortable(lib, catalog.filter_books(lib, author="7"), "title")
+    return catalog.page_with_total(found, catalog.sort_columns("title"), 20, 5).select("id", "total", "next_offset")
+
+
+@query(f"{_FOUND} SELECT id, (SELECT count(*) FROM f) > 25 AS more FROM f ORDER BY lower(title), id LIMIT 20 OFFSET 5")
+def search_books_ahead(spark, sf):
+    lib = documents_library(spark, sf)
+    found = catalog.sortable(lib, catalog.filter_books(lib, author="7"), "title")
+    return catalog.page_ahead(found, catalog.sort_columns("title"), 20, 5).select("id", "more")
+
+
 @query("SELECT p_partkey AS id FROM part WHERE p_type IS NOT NULL ORDER BY p_type DESC, p_size DESC, p_partkey LIMIT 25 OFFSET 10")
 def sort_series_page(spark, sf):
     return catalog.search_books(parts_library(spark, sf), sort="series", descending=True, limit=25, offset=10).select("id")
@@ -208,6 +227,9 @@ def similar_metadata(spark, sf):
     return similar.similar_metadata(parts_library(spark, sf), 7)
 
 
+named("similar_books_auto", lambda spark, sf: similar.similar_books(parts_library(spark, sf), 7), f"SELECT book, score, 'metadata' AS method FROM ({SQL['similar_metadata']})")
+
+
 @query(f"""WITH {TAGS}, w AS (SELECT value, 0.5 + 5.0 / count(*) AS w FROM tags GROUP BY 1), mine AS (SELECT value FROM tags WHERE book = (SELECT min(doc_id) FROM labels WHERE toxic = 1)),
  u AS (SELECT book, sum(w) AS s FROM tags JOIN w USING (value) WHERE value IN (SELECT value FROM mine) GROUP BY 1), b0 AS (SELECT * FROM documents WHERE doc_id = (SELECT min(doc_id) FROM labels WHERE toxic = 1))
 SELECT d.doc_id AS book, round(coalesce(u.s, 0) + CASE WHEN d.source = (SELECT source FROM b0) THEN 0.5 ELSE 0 END, 6) AS score FROM documents d LEFT JOIN u ON u.book = d.doc_id WHERE d.doc_id <> (SELECT doc_id FROM b0)
@@ -256,9 +278,15 @@ _two = lambda a, b: f"SELECT x.doc_id, count(*) AS f FROM p x JOIN p y ON y.doc_
 _near = lambda a, b, n: f"SELECT doc_id, count(*) AS f FROM p x WHERE term = '{a}' AND EXISTS (SELECT 1 FROM p y WHERE y.doc_id = x.doc_id AND y.term = '{b}' AND abs(y.pos - x.pos) BETWEEN 1 AND {n + 1}) GROUP BY 1"
 
 
+def _index(spark: SparkSession, sf: str, stem: bool = False) -> fulltext.Index:
+    """The stored index of the documents as they are; the first query of a session builds it."""
+    path = build_once(spark, "stems" if stem else "words", read(spark, sf, "documents"), lambda to: fulltext.save_index(fulltext.build_index(texts(spark, sf), stem), to))
+    return fulltext.load_index(spark, path, stem)
+
+
 def fts(name: str, q: str, mode: str, sql: str | None) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        hits = fulltext.search(fulltext.build_index(texts(spark, sf)), fulltext.build_match(q, mode))
+        hits = fulltext.search(_index(spark, sf), fulltext.build_match(q, mode))
         return hits.select("book", F.round("score", 6).alias("score"))
 
     named(name, run, sql)
@@ -277,30 +305,31 @@ fts("fts_initial", "^the", "raw", _bm25(["SELECT doc_id, count(*) AS f FROM p WH
 @query(f"SELECT * FROM ({_bm25([_term('the'), _term('with')], 'f0 AND f1')}) WHERE book IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def fts_filtered(spark, sf):
     allowed = documents_library(spark, sf).select("#quality:=1").select(F.col("id").alias("book"))
-    hits = fulltext.search(fulltext.build_index(texts(spark, sf)), fulltext.build_match("the with"), allowed)
+    hits = fulltext.search(_index(spark, sf), fulltext.build_match("the with"), allowed)
     return hits.select("book", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT d.doc_id % 50 AS book, d.source AS fmt, x.score FROM ({_bm25([_term('the'), _term('of')], 'f0 AND f1')}) x JOIN documents d ON d.doc_id = x.book QUALIFY row_number() OVER (PARTITION BY d.doc_id % 50 ORDER BY x.score DESC, d.source, d.doc_id) = 1")
 def fts_best_format_per_book(spark, sf):
-    rows = texts(spark, sf).withColumn("book", F.col("rid") % 50)
-    hits = fulltext.search(fulltext.build_index(rows), fulltext.build_match("the of")).withColumn("score", F.round("score", 6))
+    index = _index(spark, sf)
+    index.rows = index.rows.withColumn("book", F.col("rid") % 50)
+    hits = fulltext.search(index, fulltext.build_match("the of")).withColumn("score", F.round("score", 6))
     return fulltext.best_per_book(hits).select("book", "fmt", "score")
 
 
 @query()
 def fts_stemmed(spark, sf):
-    return fulltext.search_books(fulltext.build_index(texts(spark, sf), stem=True), "blests heors threas", "any")
+    return fulltext.search_books(_index(spark, sf, True), "blests heors threas", "any")
 
 
 @query(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM p GROUP BY 1")
 def vocab_document_frequency(spark, sf):
-    return fulltext.build_index(texts(spark, sf)).vocabulary().select("term", "docs", F.col("occurrences").cast("long"))
+    return _index(spark, sf).vocabulary().select("term", "docs", F.col("occurrences").cast("long"))
 
 
 @query(f"WITH {TOKENS} SELECT count(*) AS texts, count(DISTINCT doc_id) AS books FROM t")
 def fts_index_counts(spark, sf):
-    return fulltext.build_index(texts(spark, sf)).counts()
+    return _index(spark, sf).counts()
 
 
 _STOP = ", ".join(f"'{w}'" for w in similar.STOP)
@@ -312,13 +341,13 @@ _STOP = ", ".join(f"'{w}'" for w in similar.STOP)
 SELECT term, round(tf * ln(s.n::DOUBLE / df), 6) AS weight FROM tf JOIN df USING (term), s WHERE df > 1 AND df < greatest(3.0, 0.25 * s.n) ORDER BY weight DESC, term DESC LIMIT 20""")
 def similar_content_terms(spark, sf):
     sample = texts(spark, sf).where("book = 20").select("text")
-    return similar.content_terms(fulltext.build_index(texts(spark, sf)), sample).select("term", F.round("weight", 6).alias("weight"))
+    return similar.content_terms(_index(spark, sf), sample).select("term", F.round("weight", 6).alias("weight"))
 
 
 @query()
 def similar_content_tfidf(spark, sf):
     rows = texts(spark, sf)
-    return similar.similar_content(fulltext.build_index(rows), 20, rows.where("book = 20").select("text"))
+    return similar.similar_content(_index(spark, sf), 20, rows.where("book = 20").select("text"))
 
 
 # vectors
@@ -365,7 +394,7 @@ _RANKS = f"""{_E}, {_Q.format(3)}, vr AS (SELECT vec_id AS id, row_number() OVER
 
 def _rankings(spark: SparkSession, sf: str) -> list[DataFrame]:
     by_vector = semantic.ranked(semantic.vector_scores(_passages(spark, sf), [_vector(spark, sf, 3)]), "vector", 200)
-    hits = fulltext.search(fulltext.build_index(texts(spark, sf)), fulltext.build_match("heor blest", "any"))
+    hits = fulltext.search(_index(spark, sf), fulltext.build_match("heor blest", "any"))
     return [by_vector, semantic.ranked(hits.withColumnRenamed("rid", "id"), "score", 200)]
 
 
@@ -382,20 +411,30 @@ def hybrid_front_demotion(spark, sf):
     return fused.orderBy(F.desc("score"), "id").limit(20)
 
 
-def _doc_passages(spark: SparkSession, sf: str) -> DataFrame:
-    cut = semantic.chunk_texts(texts(spark, sf).select("book", "text"))
-    stored = cut.withColumn("id", F.col("book") * 10_000 + F.col("n")).withColumn("vec", semantic.quantise(semantic.embed(F.col("text"))))
-    return stored.persist()  # stands for the stored passage table, which a search reads several times
+def _doc_passages(spark: SparkSession, sf: str) -> tuple[DataFrame, fulltext.Index]:
+    """The stored passages of the documents with their vectors, and their full-text index."""
+
+    def build(to: str) -> None:
+        cut = semantic.chunk_texts(texts(spark, sf).select("book", "text"))
+        made = cut.withColumn("id", F.col("book") * 10_000 + F.col("n")).withColumn("vec", semantic.quantise(semantic.embed(F.col("text"))))
+        made.write.parquet(f"{to}/passages")
+        rows = spark.read.parquet(f"{to}/passages").select(F.col("id").alias("rid"), "book", F.lit("").alias("fmt"), "text")
+        fulltext.save_index(fulltext.build_index(rows), f"{to}/words")
+
+    path = build_once(spark, "passages", read(spark, sf, "documents"), build)
+    return spark.read.parquet(f"{path}/passages"), fulltext.load_index(spark, f"{path}/words")
 
 
 @query()
 def hash_embedding_search(spark, sf):
-    return semantic.hybrid_search(_doc_passages(spark, sf), ["heor blest threa"], 10).select("id", "book", "off", F.round("score", 8).alias("score"), "low_confidence")
+    passages, index = _doc_passages(spark, sf)
+    return semantic.hybrid_search(passages, ["heor blest threa"], 10, index=index).select("id", "book", "off", F.round("score", 8).alias("score"), "low_confidence")
 
 
 @query()
 def passages_spaced_per_book(spark, sf):
-    hits = semantic.hybrid_search(_doc_passages(spark, sf), ["heor blest threa"], 60).select("id", "book", "off", "score")
+    passages, index = _doc_passages(spark, sf)
+    hits = semantic.hybrid_search(passages, ["heor blest threa"], 60, index=index).select("id", "book", "off", "score")
     return semantic.spaced_per_book(hits, 2)
 
 
@@ -506,6 +545,12 @@ def quality_title_noise(spark, sf):
     return curate.quality_issues(documents_library(spark, sf), ("title_noise", "raw_filename_title")).select("book")
 
 
+@query("""WITH s AS (SELECT p_type, p_size, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT p_type, min(p_size) AS a, max(p_size) AS b, count_if(n > 1) AS d, count(*) AS k FROM s WHERE p_size >= 1 GROUP BY 1)
+SELECT 'series_gaps' AS "check", count(*) AS n FROM r WHERE b - a + 1 - k > 0 OR d > 0 HAVING count(*) > 0""")
+def quality_library_checks(spark, sf):
+    return curate.quality_summary(curate.quality_issues(parts_library(spark, sf), curate.LIBRARY_CHECKS))
+
+
 @query("SELECT 'invalid_isbn' AS \"check\", count(*) AS n FROM part WHERE (SELECT sum(CAST(substr('978' || lpad(CAST(p_partkey AS VARCHAR), 10, '0'), i::INT, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) FROM range(1, 14) r(i)) % 10 <> 0 UNION ALL SELECT 'missing_tags', count(*) FROM part")
 def quality_summary(spark, sf):
     return curate.quality_summary(curate.quality_issues(parts_library(spark, sf), ("invalid_isbn", "missing_tags")))
@@ -616,16 +661,59 @@ def html_to_markdown(spark, sf):
     return read(spark, sf, "pages").select("page_id", markup.html_markdown(F.col("html")).alias("markdown"))
 
 
-@query()
+_FIGURES = '<figure><img src="a.png" alt="x"><img src="b.svg"><figcaption>Figure 1. A plan</figcaption></figure><svg><image href="c.svg"/></svg><p>Fig. 2 of it</p>'
+
+
+@query("SELECT p.page_id, f.* FROM pages p, (VALUES ('s0-1', 'a.png', 'x', 'Figure 1. A plan'), ('s0-2', 'b.svg', '', 'Figure 1. A plan'), ('s0-3', 'c.svg', '', 'Fig. 2 of it')) f(fig_id, src, alt, caption)")
 def html_figures(spark, sf):
-    shown = F.concat(F.col("html"), F.lit('<figure><img src="a.png" alt="x"><figcaption>Figure 1. A plan</figcaption></figure>'))
-    return read(spark, sf, "pages").select("page_id", F.explode(markup.html_figures(shown)).alias("f")).select("page_id", "f.*")
+    shown = F.concat(F.col("html"), F.lit(_FIGURES))
+    return read(spark, sf, "pages").select("page_id", F.explode(markup.html_figures(shown, "s0-")).alias("f")).select("page_id", "f.*")
+
+
+def _figure_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A figure for each page: its title is the caption, its number the size."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return read(spark, sf, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 20).cast("long").alias("book"), (F.col("page_id") % 3).alias("section"), F.col("page_id").alias("n"), F.concat(F.lit("s0-"), F.col("page_id").cast("string")).alias("fig_id"), title.alias("caption"), F.lit("").alias("alt"), F.lit("").alias("place"), (F.col("page_id") * 10).cast("long").alias("bytes"), F.when(F.col("page_id") % 7 == 0, "svg").otherwise("png").alias("format"))
+
+
+@query("WITH f AS (SELECT page_id AS id, page_id % 3 AS section, page_id AS n FROM pages WHERE page_id % 20 = 4 AND (page_id % 7 = 0 OR page_id * 10 >= 2048)), t AS (SELECT count(*) AS total FROM f) SELECT id, total, CASE WHEN total > 4 THEN 4 END AS next_offset FROM f, t ORDER BY section, n LIMIT 4")
+def figure_list(spark, sf):
+    return figures.list_figures(_figure_table(spark, sf), 4, limit=4).select("id", "total", "next_offset")
+
+
+@query()
+def figure_search(spark, sf):
+    rows = figures.described(_figure_table(spark, sf)).withColumn("vec", semantic.quantise(semantic.embed(F.col("body"))))
+    index = fulltext.build_index(rows.select(F.col("id").alias("rid"), "book", F.lit("").alias("fmt"), F.col("body").alias("text")))
+    vectors = [v.tolist() for v in semantic.HashEmbedder().embed(["the of"])]
+    return figures.search_figures(rows, index, ["the", "of"], vectors).select("id", "book", "fig_id", "caption", F.round("score", 8).alias("score"))
+
+
+@query("SELECT doc_id % 50 AS book, source AS fmt FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 50 ORDER BY CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END, source, doc_id) = 1")
+def figure_source_pick(spark, sf):
+    kind = F.when(F.col("doc_id") % 3 == 0, "PDF").when(F.col("doc_id") % 3 == 1, "EPUB").otherwise("ZIP")
+    rows = read(spark, sf, "documents").select((F.col("doc_id") % 50).alias("book"), kind.alias("fmt"), "source", "doc_id")
+    best = figures.pick_source(rows.select("book", "fmt").distinct())
+    first = rows.join(best, ["book", "fmt"]).groupBy("book").agg(F.min(F.struct("source", "doc_id"))["source"].alias("fmt"))
+    return first
 
 
-@query(f"WITH c AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS caption FROM pages) SELECT page_id FROM c WHERE caption <> '' AND contains({fold('caption')}, 'the')")
-def figure_caption_search(spark, sf):
-    rows = read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("caption"))
-    return rows.where((F.col("caption") != "") & text.cfold(F.col("caption")).contains("the")).select("page_id")
+@query("SELECT doc_id AS book, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0 OR doc_id % 5 <> 0 AND doc_id % 7 = 0 OR doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0")
+def figure_index_changes(spark, sf):
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("book"), F.col("source").alias("stamp"))
+    have = rows.where("book % 5 <> 0").withColumn("stamp", F.when(F.col("book") % 11 == 0, "old").otherwise(F.col("stamp")))
+    return figures.index_changes(rows.where("book % 7 <> 0"), have, "hash", "hash")
+
+
+@query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' ELSE 'changed' END AS change, count(*) AS books FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0 OR doc_id % 5 <> 0 AND doc_id % 7 = 0 OR doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0 GROUP BY 1")
+def passage_index_sync(spark, sf):
+    """A stored passage index, built and then brought up to texts that came, went and changed."""
+    rows = texts(spark, sf).select("book", "text")
+    index = passage_index.PassageIndex(spark, f"{folder(spark)}/quire/passage-index-{uuid.uuid4().hex}")
+    index.build(rows.where("book % 5 <> 0"))
+    changed = F.when(F.col("book") % 11 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    counts = index.build(rows.where("book % 7 <> 0").withColumn("text", changed))
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n], "change string, books long")
 
 
 @query()
@@ -660,10 +748,8 @@ def passage_chunks(spark, sf):
 
 @query()
 def best_snippets(spark, sf):
-    index = fulltext.build_index(texts(spark, sf))
-    hits = fulltext.search_books(index, '"of the" OR heor', "raw").select("book", "score")
-    shown = hits.join(read(spark, sf, "documents").select(F.col("doc_id").alias("book"), "text"), "book")
-    return shown.select("book", F.explode(snippets.best_snippets(F.col("text"), '"of the" OR heor', "raw")).alias("s")).select("book", "s.*")
+    found = fulltext.search_texts(_index(spark, sf), texts(spark, sf), '"of the" OR heor', "raw")
+    return found.select("book", "fmt", F.round("score", 6).alias("score"), F.explode("snippets").alias("s")).select("book", "fmt", "score", "s.*")
 
 
 @query()
@@ -684,6 +770,13 @@ def read_window(spark, sf):
     return read(spark, sf, "documents").where("n_chars > 200").select(F.col("doc_id").alias("id"), w["text"].alias("text"))
 
 
+@query("""WITH l AS (SELECT doc_id AS book, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), s AS (SELECT *, sum(length(line)) OVER (PARTITION BY book ORDER BY n) - length(line) AS a, sum(length(line)) OVER (PARTITION BY book ORDER BY n) AS b, sum(length(line)) OVER (PARTITION BY book) AS total FROM l WHERE n BETWEEN 1 AND 6)
+SELECT book, n::INT AS n, greatest(100, a)::INT AS "offset", substr(line, (greatest(100, a) - a + 1)::INT, (least(600, b) - greatest(100, a))::INT) AS text, total > 600 AS more, CASE WHEN total > 600 THEN 600 END AS next_offset FROM s WHERE greatest(100, a) < least(600, b)""")
+def read_section(spark, sf):
+    lines = structure.line_table(texts(spark, sf)).select("book", "n", F.col("line").alias("text"))
+    return structure.read_sections(lines, 1, 6, offset=100, max_chars=500)
+
+
 _LOG = "SELECT event_id AS n, CASE event_id % 7 WHEN 0 THEN 'INFO indexed ' || (event_id % 90) || '/120 books' WHEN 1 THEN '2026-10-05 10:00:00,1 ERROR engine boom' WHEN 2 THEN 'model at ' || (event_id % 100) || '%' WHEN 3 THEN 'index sync failed' WHEN 4 THEN 'INFO: 127.0.0.1 - \"POST /x HTTP/1.1\" ' || (200 + event_id % 400) WHEN 5 THEN '2026-10-05 10:00:00,1 DEBUG q=fire' ELSE 'started on 2026-10-05' END AS line FROM events"
 
 

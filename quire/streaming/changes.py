@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quire.operators.fulltext import build_index
 
@@ -86,9 +87,12 @@ def sync_index(spark: SparkSession, texts: DataFrame, path: str, complete: bool
 def stream_index(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, every: str | None = None):
     """Follow a folder of Parquet texts (rid, book, fmt, text); each micro-batch is one sync. every: None runs what is there."""
     stream = spark.readStream.schema(schema).parquet(source)
+    # of several versions in one batch the newest file's, then the greatest text
+    stream = stream.withColumn("_time", F.col("_metadata.file_modification_time"))
+    latest = [F.desc("_time"), F.desc("text")]
 
     def batch(df: DataFrame, _: int) -> None:
-        sync_index(df.sparkSession, df.dropDuplicates(["rid"]), path, complete=False)
+        sync_index(df.sparkSession, df.withColumn("_n", F.row_number().over(W.partitionBy("rid").orderBy(*latest))).where("_n = 1").drop("_n", "_time"), path, complete=False)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

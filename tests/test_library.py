@@ -5,6 +5,7 @@ import io
 import json
 import random
 import sqlite3
+import time
 import zipfile
 
 import pytest
@@ -90,7 +91,12 @@ def test_isbn(spark):
     rows = [("0-306-40615-2", "9780306406157"), ("9780306406157", "9780306406157"), ("080442957X", "9780804429573"), ("9780306406158", None), ("123", None), (None, None)]
     got = spark.createDataFrame(rows, "v string, w string").select("w", isbn.to13(F.col("v")).alias("g"), isbn.problem(F.col("v")).alias("p")).collect()
     assert all(r["g"] == r["w"] and (r["p"] is None) == (r["w"] is not None) for r in got)
-    found = curate.scan_isbns("x ISBN-10: 0-306-40615-2 and later 9780306406157 or 9780306406158")
+    far = "w " * 60000
+    rows = [(1, "x ISBN-10: 0-306-40615-2 and later 9780306406157 or 9780306406158"), (2, "978-1-86197-876-9 " + far + "ISBN 0306406152" + " end"), (3, None), (4, far + "9780306406157" + far)]
+    got = curate.find_isbns(spark.createDataFrame(rows, "book long, text string")).orderBy("book", "rank").collect()
+    assert [(r.book, r["rank"], r.isbn13, r.labelled, r.place) for r in got[1:]] == [(2, 0, "9780306406157", True, "back"), (2, 1, "9781861978769", False, "front")]
+    assert got[2].offset == 0 and got[1].offset == len(rows[1][1]) - 14
+    found = [r.asDict() for r in got[:1]]
     assert [(f["isbn13"], f["labelled"], f["occurrences"]) for f in found] == [("9780306406157", True, 2)]
 
 
@@ -125,15 +131,28 @@ def test_snippets():
     assert [c["offset"] for c in snippets.contexts("firewalls and a firewall", "firewall", False, 4, 10, 0)] == [0, 16]
 
 
-def test_chapters_and_passages():
+def test_chapters_and_passages(spark):
     body = "Some words of a text that goes on. " * 40
     t = f"Title\n\nChapter 1 Start\n\n{body}\n\nChapter 2 More\n\n{body}\n\nIndex\n\nwords\n"
-    rows = structure.chapter_rows(t)
+    of = lambda rows: [(r.method, r.n, r.title, r.offset, r.end, r.kind) for r in structure.chapter_map(spark.createDataFrame(rows, "book long, text string, toc array<string>")).orderBy("n").collect()]
+    rows = of([(1, t, None)])
     assert [(r[2], r[5]) for r in rows] == [("Chapter 1 Start", "body"), ("Chapter 2 More", "body"), ("Index", "back")] and rows[-1][4] == len(t)
     spans = [{"offset": r[3], "end": r[4], "title": r[2], "kind": r[5]} for r in rows]
     for p in semantic.passages_of(t, spans):
         assert t[p["off"] :].lstrip().startswith(p["text"]) and any(s["offset"] <= p["off"] and p["off"] + len(p["text"]) <= s["end"] for s in spans)
-    assert structure.chapter_rows(t, ["Start", "More"])[0][0] == "toc"
+    assert [r[:3] for r in of([(1, t, ["Start", "More"])])] == [("toc", 0, "Start"), ("toc", 1, "More")]
+    assert of([(1, t, ["Nothing", "of", "these"])])[0][0] == "headings" and of([(1, None, None)]) == [("none", 0, None, 0, 0, "body")] == of([(1, "", [])])
+    printed = "Contents\n" + "\n".join(f"Chapter {i} Part {i}" for i in range(1, 5)) + "\n\n"
+    far = "\n\n".join(f"Chapter {i} Part {i}\n\n{body}" for i in range(1, 5))
+    rows = of([(1, printed + "words " * 50 + "\n\n" + far, None)])
+    assert [r[2] for r in rows] == ["Contents", *(f"Chapter {i} Part {i}" for i in range(1, 5))] and rows[1][3] > len(printed)
+    rows = of([(1, printed + "words " * 50 + "\n\n" + far, ["1. Part 1", "2. Part 2", "Part 9"])])
+    assert [(r[0], r[2]) for r in rows[1:]] == [("toc", "1. Part 1"), ("toc", "2. Part 2")] and rows[1][3] > len(printed)
+    close = f"Chapter 1 One\n\nONE MORE LINE\n\n{body}\n\nTHE OTHER LINE\n\n{body}"
+    assert [r[2] for r in of([(1, close, None)])] == ["Chapter 1 One", "THE OTHER LINE"]
+    sections = spark.createDataFrame([(1, i, chr(97 + i) * 10) for i in range(5)], "book long, n int, text string")
+    got = [tuple(r) for r in structure.read_sections(sections, 1, 3, 5, 12).orderBy("n").collect()]
+    assert got == [(1, 1, 5, "bbbbb", True, 17), (1, 2, 10, "ccccccc", True, 17)]
 
 
 def test_vectors(spark):
@@ -182,6 +201,10 @@ def test_log_lines(spark):
     lines = spark.createDataFrame([("s", i, c[0]) for i, c in enumerate(cases)], "source string, n long, line string")
     got = {r["n"]: r["kind"] for r in logs.classify(lines).collect()}
     assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
+    details = {r["n"]: r["detail"] for r in logs.classify(lines).collect()}
+    assert details[11] and not details[10] and not details[12]
+    chained = spark.createDataFrame([("s", 1, "During handling of the above exception, another occurred:", False), ("s", 2, "half done", True), ("s", 3, "half done", False)], "source string, n long, line string, replace boolean")
+    assert [(r.kind, r.detail) for r in logs.classify(chained).orderBy("n").collect()] == [("error", True), ("progress", False), ("status", False)]
     assert logs.frames("a\r\nb\rc") == [("a", False), ("b", True), ("c", False)]
 
 
@@ -216,3 +239,71 @@ def test_registered_queries_take_whole_texts(spark, tmp_path):
     found = {r.isbn13 for r in queries.QUERIES["find_isbns"](spark, str(tmp_path)).collect()}
     assert found == {"9780306406157", "9781861978769"}
     assert [r.headings for r in queries.QUERIES["heading_mirror"](spark, str(tmp_path)).collect()] == [4]
+
+
+def test_log_stream_equals_the_table(spark, tmp_path):
+    lines = ["start", "Traceback (most recent call last):", '  File "x.py", line 1', "", "ValueError: bad", "plain", "Traceback (most recent call last):", "  File x", "index sync failed"]
+    rows = [(s, i, x) for s in "ab" for i, x in enumerate(lines[: 9 if s == "a" else 6])]
+    schema = "source string, n long, line string"
+    for part in range(3):
+        spark.createDataFrame(rows[part::3] if False else [r for r in rows if r[1] // 3 == part], schema).coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
+    stream = logs.classify_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("kinds").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = logs.classify(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, spark.table("kinds").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_index_stream_takes_the_newest_version(spark, tmp_path):
+    schema = "rid long, book long, fmt string, text string"
+    for text in ("alpha", "beta"):
+        spark.createDataFrame([(1, 1, "TXT", text)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    changes.stream_index(spark, f"{tmp_path}/in", schema, f"{tmp_path}/index", f"{tmp_path}/ck").awaitTermination(120)
+    postings = changes.VersionedTable(spark, f"{tmp_path}/index/postings", changes.POSTINGS).read()
+    assert {r.term for r in postings.collect()} == {"beta"}
+
+
+def test_passage_index_guards(spark, tmp_path):
+    from quire.operators.passage_index import IndexMismatch, PassageIndex
+
+    texts = lambda *rows: spark.createDataFrame(list(rows), "book long, text string")
+    long = "words of a passage that goes on and on " * 40
+    index = PassageIndex(spark, str(tmp_path / "p"))
+    with pytest.raises(IndexMismatch):
+        index.passages()
+    assert index.build(texts((1, long), (2, long + "x"))) == {"added": 2, "changed": 0, "removed": 0}
+    version, size = index.version(), index.passages().count()
+    assert index.build(texts((1, long), (2, long + "x"))) == {"added": 0, "changed": 0, "removed": 0} and index.version() == version
+    assert index.build(texts((1, long + "y"))) == {"added": 0, "changed": 1, "removed": 1} and index.version() != version
+    assert 0 < index.passages().count() < size and {r.book for r in index.passages().select("book").distinct().collect()} == {1}
+    other = PassageIndex(spark, str(tmp_path / "p"), backend="other")
+    with pytest.raises(IndexMismatch):
+        other.passages()
+    assert other.build(texts((1, long)))["added"] == 1 and other.passages().count() > 0
+
+
+def test_figures(spark):
+    from quire.operators import figures
+
+    raw = '<figure><img src="a.png"><img src="b.png" alt="B"><figcaption>Both of them</figcaption></figure><img src="c.png"><p>no caption</p><svg><image href="d.svg"/></svg><p>Figure 7: plan</p>'
+    found = markup.figures_of(raw, "s0-")
+    assert [(f["fig_id"], f["caption"]) for f in found] == [("s0-1", "Both of them"), ("s0-2", "Both of them"), ("s0-3", ""), ("s0-4", "Figure 7: plan")]
+    assert [m for m in ("[image s0-1]", "[image s0-2: B]", "[image s0-4]") if m in markup.to_markdown(raw, "s0-")] == ["[image s0-1]", "[image s0-2: B]", "[image s0-4]"]
+    rows = spark.createDataFrame([(i, i % 2, f"s-{i}", c, "") for i, c in enumerate(["a plan of the engine", "a map", "the engine of it", ""])], "id long, book long, fig_id string, caption string, alt string").withColumn("place", F.lit(""))
+    rows = figures.described(rows).withColumn("vec", F.lit(None).cast("array<tinyint>"))
+    index = fulltext.build_index(rows.select(F.col("id").alias("rid"), "book", F.lit("").alias("fmt"), F.col("body").alias("text")))
+    assert sorted(r.id for r in figures.search_figures(rows, index, ["engine"]).collect()) == [0, 2]
+    sources = spark.createDataFrame([(1, "a"), (2, "b")], "book long, stamp string")
+    changed = lambda backend: {(r.book, r.change) for r in figures.index_changes(sources, spark.createDataFrame([(1, "a"), (3, "c")], sources.schema), backend, "hash").collect()}
+    assert changed("hash") == {(2, "added"), (3, "removed")} and changed("other") == {(1, "changed"), (2, "added"), (3, "removed")}
+
+
+def test_unknown_columns_and_library_checks(spark):
+    from quire.testbed import parts_library
+
+    with pytest.raises(fulltext.MatchError):
+        fulltext.parse_match("title:alpha")
+    assert fulltext.parse_match("body:alpha") == fulltext.parse_match("alpha")
+    issues = curate.quality_issues(parts_library(spark, "/root/testdata/sf0.001"), ("author_variants",))
+    assert issues.columns == ["check", "book", "detail"] and issues.count() == 0
