@@ -9,11 +9,11 @@ segments within their part of the budget, and then held to the whole Hamming bud
 expected count: four deviations, so that the estimate rejects next to none. The pairs left are decided by the real
 Jaccard similarity of their sets of shingle hashes, which are made for the documents of such pairs only.
 
-Under a key of up to CROWD fingerprints all are paired. In a larger group every member is first held against LEADERS
-members of it, those whose keys are most common in all bands, which mostly ties near copies of one text together.
-Then all pairs of its members that no chain of links joins yet are compared: the group is dealt in blocks of BLOCK,
-each two blocks to a task, so that no task holds more than two of them. Only components matter, so pairs within one
-need no look.
+Under every key each member is first held against LEADERS members of the group, those whose keys are most common in
+all bands, which mostly ties near copies of one text together, in pairs that grow with the group. Then all pairs
+that share a key and that no chain of links joins yet are compared; a group of over CROWD is dealt in blocks of
+BLOCK for that, each two blocks to a task, so that no task holds more than two of them. Only components matter, so
+pairs within one need no look.
 
 Null and wordless texts have no key and no link. Fewer words than a shingle: the whole sequence is one.
 """
@@ -37,7 +37,7 @@ WIDE = 16
 CHAIN = 3
 #: Candidate keys and the least hashes in each.
 BANDS, ROWS = 20, 5
-#: Fingerprints under one key up to which all are paired; members of a larger group that each other is held against.
+#: Fingerprints under one key that are paired in one row; members of a group that each other is held against.
 CROWD = 16
 LEADERS = 2
 #: Members of a crowd in one block.
@@ -155,19 +155,23 @@ def _block_pairs(bits: int):
     return compare
 
 
-def _crowd_pairs(many: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
-    """many: id, key, n. x, y within `bits` of each other that share a key and that no chain of edges joins."""
+def _unlinked(held: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
+    """held: id, key, n. Pairs x, y that share a key and that no chain of edges joins; of crowds those within `bits`."""
     roots = materialize(components(edges), "wide-roots")
-    placed = many.join(nodes.select("id", "fp"), "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = materialize(placed.select("id", "key", F.coalesce("root", "fp").alias("root"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "wide-placed")
+    placed = held.join(nodes.select("id", "fp"), "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = materialize(placed.select("id", "key", "n", F.coalesce("root", "fp").alias("root"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "wide-placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    placed = placed.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    placed = placed.join(mixed, "key", "left_semi")
+    # CROWD ids at most are collected under a key
+    few = placed.where(F.col("n") <= CROWD).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("id", "root"))).alias("ids"))
+    few = few.select("ids", F.posexplode("ids").alias("at", "x")).select("x", F.explode(F.slice("ids", 1, F.col("at"))).alias("y"))
+    few = few.where("x.root != y.root").select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    many = placed.where(F.col("n") > CROWD).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     # with block b every pair (least, b) and (b, most) is dealt
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = many.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "root", "block")
     dealt = dealt.join(nodes.select("id", "wide"), "id")
-    found = dealt.groupBy("key", "low", "high").applyInArrow(_block_pairs(bits), "x long, y long")
-    return materialize(found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "wide-crowd")
+    return few.union(dealt.groupBy("key", "low", "high").applyInArrow(_block_pairs(bits), "x long, y long"))
 
 
 def wide_links(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -179,18 +183,19 @@ def wide_links(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) ->
     keyed = nodes.select("id", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-sizes")
     held = materialize(keyed.join(sizes, "key"), "wide-keys")
-    # CROWD ids at most are collected under a key
-    few = held.where(F.col("n") <= CROWD).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    few = few.select("ids", F.posexplode("ids").alias("at", "x")).select("x", F.explode(F.slice("ids", 1, F.col("at"))).alias("y"))
-    many = held.where(F.col("n") > CROWD)
-    ranked = many.join(held.groupBy("id").agg(F.sum("n").alias("score")), "id")
+    ranked = held.join(held.groupBy("id").agg(F.sum("n").alias("score")), "id")
     leaders = ranked.groupBy("key", F.pmod("id", F.lit(LEADERS)).alias("salt")).agg(F.max(F.struct("score", "id")).alias("top"))
-    led = many.select("key", F.col("id").alias("x")).join(leaders.select("key", F.col("top.id").alias("y")), "key").select("x", "y").where("x != y")
-    pairs = materialize(few.union(led).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "wide-pairs")
+    led = held.select("key", F.col("id").alias("x")).join(leaders.select("key", F.col("top.id").alias("y")), "key").select("x", "y").where("x != y")
+    edges = materialize(_verified(_near(led, nodes, similarity), nodes, texts, similarity), "wide-edges")
+    more = held.where("n > 2")
+    if more.isEmpty():
+        return edges
+    return edges.union(_verified(_near(_unlinked(more, nodes, edges, budget(similarity)), nodes, similarity), nodes, texts, similarity))
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """x > y, once each, of those pairs whose fingerprints are within the budget."""
+    pairs = materialize(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "wide-pairs")
     side = lambda n: nodes.select(F.col("id").alias(n), F.col("fp").alias(f"{n}_fp"), F.col("wide").alias(f"{n}_wide"))
     near = pairs.join(side("x"), "x").join(side("y"), "y").where(F.col("x_fp") != F.col("y_fp")).where(_resemble("x_wide", "y_wide", budget(similarity)))
-    edges = _verified(materialize(near.select("x", "y"), "wide-near"), nodes, texts, similarity)
-    if many.isEmpty():
-        return edges
-    edges = materialize(edges, "wide-edges")
-    return edges.union(_verified(_crowd_pairs(many, nodes, edges, budget(similarity)), nodes, texts, similarity))
+    return materialize(near.select("x", "y"), "wide-near")
