@@ -77,6 +77,15 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _made.pop())
 
 
+#: Rows of keys up to which a side of a join is broadcast (under 64 MB).
+BROADCAST_ROWS = 1 << 20
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """df, which is stored and narrow, marked to be broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}

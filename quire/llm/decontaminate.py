@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_ANY_CASE, lower_ascii, numbered
+from .common import WORD_ANY_CASE, checked_broadcast, lower_ascii, materialize, numbered
 
 #: Up to so many windows the set is broadcast (under 100 MB); above, the same join is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -33,7 +33,7 @@ def item_windows(items: DataFrame, n: int = 8, item_id: str = "item_id", text: s
     return cut.select("_item", F.array_join("_ws", " ").alias("_w"), F.size("_ws").alias("_len"), at.cast("int").alias("_at"), F.xxhash64(F.lower(F.element_at("_ws", (at + 1).cast("int")))).alias("_key")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """A row for each document: _row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_hit.
 
     _row is that column of docs, else numbers its rows as scanned; longest_hit is the longest run of hit words.
@@ -85,7 +85,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 8, longest:
     docs, row = numbered(docs)
     judged = contamination(docs, items, n, row=row)
     bad = judged.where((F.col("longest_hit") >= longest) | F.col("contaminated")).select(F.col("_row").alias(row))
-    return docs.join(bad, row, "left_anti").drop(row)
+    return docs.join(checked_broadcast(materialize(bad, "contaminated")), row, "left_anti").drop(row)
 
 
 SQL = r"""

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import made, materialize, numbered, settle, small_batches
+from .common import checked_broadcast, made, materialize, numbered, settle, small_batches
 from .components import components
 from .simhash_wide import wide_links, wide_simhash
 
@@ -151,4 +151,4 @@ def keep_first(docs: DataFrame, n: int = 3, bits: int = 2, similarity: float | N
     mark = made()
     gone = near_classes(docs, n, bits, similarity=similarity, row=row).where(F.col("_row") != F.col("first_row")).select(F.col("_row").alias(row))
     gone = settle(gone, "near-copies", mark)
-    return docs.join(gone, row, "left_anti").drop(row)
+    return docs.join(checked_broadcast(gone), row, "left_anti").drop(row)

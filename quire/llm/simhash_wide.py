@@ -6,7 +6,7 @@ similarity s two of them differ in acos(2s / (1 + s)) / pi of the bits (0.8: 155
 Candidates share one of BANDS keys, each of the least ROWS shingle hashes under as many orders (0.8: 99.96 % of
 pairs share one, 0.5: 47 %, 0.2: 0.6 %). They are pruned by pigeonring on the segments of 64 bits, chains of CHAIN
 segments within their part of the budget, and then held to the whole Hamming budget, which has SLACK bits above the
-expected count: four deviations, so that the estimate rejects next to none. The pairs left are decided by the real
+expected count: three deviations, so that the estimate rejects 1 in 700 pairs at the similarity itself. The pairs left are decided by the real
 Jaccard similarity of their sets of shingle hashes, which are made for the documents of such pairs only.
 
 Under every key each member is first held against LEADERS members of the group, those whose keys are most common in
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import checked_broadcast, materialize
 from .components import components
 
 #: Words of 64 bits in the fingerprint, which are the segments of the ring, and segments in a chain.
@@ -42,8 +42,8 @@ CROWD = 16
 LEADERS = 2
 #: Members of a crowd in one block.
 BLOCK = 2048
-#: Bits above the expected distance at the least similarity: four deviations.
-SLACK = 48
+#: Bits above the expected distance at the least similarity: three deviations.
+SLACK = 36
 
 _ORDERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +123,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     """pairs: x, y (ids of nodes). Edges u > v of those whose sets of shingles have the Jaccard similarity."""
     wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
     rows = materialize(nodes.join(wanted, "id", "left_semi").select("id", "fp", "row"), "wide-wanted")
-    sets = texts.join(rows, "row").select("id", "fp", shingle_set(F.col("text")).alias("set"))
+    sets = texts.join(checked_broadcast(rows), "row").select("id", "fp", shingle_set(F.col("text")).alias("set"))
     sets = materialize(sets, "wide-sets")
     side = lambda n: sets.select(F.col("id").alias(n), F.col("fp").alias(f"{n}_fp"), F.col("set").alias(f"{n}_set"))
     common, sizes = F.size(F.array_intersect("x_set", "y_set")), F.size("x_set") + F.size("y_set")
