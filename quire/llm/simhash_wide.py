@@ -38,7 +38,7 @@ CHAIN = 3
 #: Candidate keys and the least hashes in each.
 BANDS, ROWS = 20, 5
 #: Fingerprints under one key that are paired in one row; members of a group that each other is held against.
-CROWD = 16
+CROWD = 4
 LEADERS = 2
 #: Members of a crowd in one block.
 BLOCK = 2048
