@@ -155,8 +155,8 @@ def _block_pairs(bits: int):
     return compare
 
 
-def _unlinked(held: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
-    """held: id, key, n. Pairs x, y that share a key and that no chain of edges joins; of crowds those within `bits`."""
+def _unlinked(held: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """held: id, key, n. Pairs x, y that share a key and that no chain of edges joins: of small groups all, of crowds those within `bits`."""
     roots = materialize(components(edges), "wide-roots")
     placed = held.join(nodes.select("id", "fp"), "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     placed = materialize(placed.select("id", "key", "n", F.coalesce("root", "fp").alias("root"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "wide-placed")
@@ -171,7 +171,7 @@ def _unlinked(held: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) ->
     dealt = many.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "root", "block")
     dealt = dealt.join(nodes.select("id", "wide"), "id")
-    return few.union(dealt.groupBy("key", "low", "high").applyInArrow(_block_pairs(bits), "x long, y long"))
+    return few, dealt.groupBy("key", "low", "high").applyInArrow(_block_pairs(bits), "x long, y long")
 
 
 def wide_links(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -190,7 +190,9 @@ def wide_links(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) ->
     more = held.where("n > 2")
     if more.isEmpty():
         return edges
-    return edges.union(_verified(_near(_unlinked(more, nodes, edges, budget(similarity)), nodes, similarity), nodes, texts, similarity))
+    few, many = _unlinked(more, nodes, edges, budget(similarity))
+    many = many.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    return edges.union(_verified(materialize(_near(few, nodes, similarity).union(many).distinct(), "wide-unlinked"), nodes, texts, similarity))
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
