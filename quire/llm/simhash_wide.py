@@ -133,14 +133,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
 
 
 def _block_pairs(bits: int):
-    """For applyInArrow: of members (id, root, wide, block) of two blocks, the pairs of other roots within `bits`."""
+    """For applyInArrow: of members (id, root, wide, keys, block) of two blocks, the pairs of other roots within `bits`.
+
+    A pair comes out under the first key that its members share, so once.
+    """
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
+        here, low, high = key[0].as_py(), key[1].as_py(), key[2].as_py()
         ids, roots, block = (group.column(c).to_numpy() for c in ("id", "root", "block"))
         words = group.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = np.argsort(block, kind="stable")
-        ids, roots, words, block = ids[order], roots[order], words[order], block[order]
+        ids, roots, words, keys, block = ids[order], roots[order], words[order], keys[order], block[order]
         split = int(np.searchsorted(block, high)) if low != high else 0
         xs, ys = [ids[:0]], [ids[:0]]
         for i in range(split if low != high else len(ids)):
@@ -148,6 +152,8 @@ def _block_pairs(bits: int):
             other = begin + np.flatnonzero(roots[begin:] != roots[i])
             if len(other):
                 near = other[np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int32) <= bits]
+                shared = keys[near] == keys[i]
+                near = near[(keys[i][shared.argmax(axis=1)] == here) | ~shared.any(axis=1)]
                 xs.append(np.full(len(near), ids[i]))
                 ys.append(ids[near])
         return pa.table({"x": pa.array(np.concatenate(xs), pa.int64()), "y": pa.array(np.concatenate(ys), pa.int64())})
@@ -170,7 +176,7 @@ def _unlinked(held: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) ->
     # with block b every pair (least, b) and (b, most) is dealt
     dealt = many.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "root", "block")
-    dealt = dealt.join(nodes.select("id", "wide"), "id")
+    dealt = dealt.join(nodes.select("id", "wide", "keys"), "id")
     return few, dealt.groupBy("key", "low", "high").applyInArrow(_block_pairs(bits), "x long, y long")
 
 

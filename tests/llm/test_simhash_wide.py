@@ -4,6 +4,7 @@ import functools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import simhash, simhash_wide
@@ -120,3 +121,15 @@ def test_crowds_keep_no_near_copies(spark, monkeypatch, block):
     prints = spark.createDataFrame([(i, i, w, [1], i) for i, w in enumerate(wide)], "_row long, fp long, wide array<long>, keys array<long>, sid long")
     got = simhash_wide.wide_links(prints, spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
     assert {(r.u, r.v) for r in got.collect()} == {(2 * i + 1, 2 * i) for i in range(40)}
+
+
+def test_pairs_leave_blocks_under_their_first_key_only():
+    rng = np.random.default_rng(2)
+    word = rng.integers(0, 1 << 62, simhash_wide.WIDE)
+    keys = [[7, 8, 9], [7, 8, 1], [3, 8, 9], [8, 4, 2]]  # the last shares 8 at another place
+    group = lambda key: pa.table({"id": [i for i, k in enumerate(keys) if key in k], "root": [i for i, k in enumerate(keys) if key in k], "wide": [word] * sum(key in k for k in keys), "keys": [k for k in keys if key in k], "block": [0] * sum(key in k for k in keys)})
+    got = []
+    for key in (7, 8, 9):
+        out = simhash_wide._block_pairs(0)((pa.scalar(key), pa.scalar(0), pa.scalar(0)), group(key))
+        got += [tuple(sorted(r.values())) for r in out.to_pylist()]
+    assert sorted(got) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
