@@ -6,8 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 U = np.uint64
 _K1, _K2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -90,20 +88,6 @@ class Sums:
             yield key, np.packbits(acc >= least, bitorder="little").tobytes()
 
 
-def sieve(ids: DataFrame, most: int) -> Bitmap:
-    """A bitmap of 2 ** most bits at most that holds all ids (a column id of longs)."""
-    bits = min(most, max(16, ids.count().bit_length() + 3))
-    bucket = F.shiftrightunsigned("id", 64 - bits)
-    # 4,096 bits to a row
-    rows = ids.groupBy(F.shiftright(bucket, 12).alias("p")).agg(F.collect_set(bucket.bitwiseAND(4095)).alias("on")).toArrow()
-    chunks = {}
-    for p, on in zip(rows.column("p").to_pylist(), rows.column("on").to_pylist(), strict=True):
-        flags = np.zeros(4096, np.uint8)
-        flags[on] = 1
-        chunks[p] = np.packbits(flags, bitorder="little").tobytes()
-    return Bitmap(chunks, 1 << (bits - 12), bits)
-
-
 _LETTER = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True

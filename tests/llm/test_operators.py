@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -178,6 +179,23 @@ def test_suffix_tree_scores(request, which, head, tree, held, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6, abs=1e-6)
 
 
+@pytest.mark.parametrize(("tree", "load"), [(1 << 23, 1 << 20), (-1, 1 << 20)])
+def test_tree_goes_out_in_pieces(spark, docs, tree, load, monkeypatch):
+    """A tree beyond TREE_ENTRIES is neither joined nor collected at once: pieces, and no token is written."""
+    sent, names, real, write = [], [], type(spark.sparkContext).broadcast, suffix_tree.settle
+    want = sorted(map(tuple, suffix_tree.score_documents(docs).collect()), key=str)
+    monkeypatch.setattr(suffix_tree, "TREE_ENTRIES", tree)
+    monkeypatch.setattr(suffix_tree, "PIECE", 16)
+    monkeypatch.setattr(suffix_tree, "LOAD", load)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: (sent.append(x), real(sc, x))[1])
+    monkeypatch.setattr(suffix_tree, "settle", lambda df, name, *a, **k: (names.append((name, df.columns)), write(df, name, *a, **k))[1])
+    got = sorted(map(tuple, suffix_tree.score_documents(docs).collect()), key=str)
+    sizes = [len(x[0]) for x in sent if isinstance(x, tuple) and isinstance(x[0], np.ndarray)]
+    assert len(sizes) > 20 and sum(sizes) > 200 and max(sizes) < 64
+    assert dict(names)["lm-rows"] == ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"]
+    assert [r[:5] for r in got] == [r[:5] for r in want] and [r[6] for r in got] == pytest.approx([r[6] for r in want])
+
+
 def test_tree_gives_probabilities(rows):
     brute = BruteTree([r[1] for r in rows])
     for c in [(), *sorted(brute.kept, key=str)[:40]]:
