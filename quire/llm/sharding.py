@@ -135,4 +135,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 29) -> DataFr
     mark = made()
     placed = settle(assign_shards(docs, shards, seed, row=row).select(F.col("_row").alias(row), "shard", "slot"), "shard-places", mark)
     kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot", row)]
-    return docs.select(*kept, row).join(placed, row).drop(row)
+    # a place for every row: never broadcast, however small its columns are when stored
+    return docs.select(*kept, row).join(placed.hint("merge"), row).drop(row)

@@ -85,3 +85,11 @@ def test_empty_input_passes_every_stage(spark, tmp_path, docs, benchmark):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     benchmark.limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).where(F.lit(True)).count() == 0
+
+
+def test_places_are_never_broadcast(docs, tmp_path):
+    """Stored places are small at any number of rows, so their stored size is no reason to send them all to each worker."""
+    docs.write.parquet(f"{tmp_path}/docs")
+    out = sharding.shard_documents(docs.sparkSession.read.parquet(f"{tmp_path}/docs"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and ids(out) == ids(docs)
