@@ -1,12 +1,27 @@
 """What larger tables and odd values showed: percentages on a tie, caps, work that grows faster than its input."""
 
+import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from quire.operators import catalog
 from quire.plans.library import SCHEMAS, Library
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reading_progress_rounds_what_floating_point_makes_a_tie_to_even(spark):
     rows = [(i, i, "EPUB", "u", "d", "", float(i), pos) for i, pos in ((1, 0.5395), (2, 0.5905), (3, 0.0025), (4, 0.9795), (5, 1.0))]
     lib = Library(spark, {"last_read_positions": spark.createDataFrame(rows, SCHEMAS["last_read_positions"])})
     # 0.5395 * 100 is 53.949999999999996 and 0.5905 * 100 is 59.050000000000004; ten times each is 539.5 and 590.5
     assert {r["book"]: r["percent"] for r in catalog.reading_progress(lib).collect()} == {1: 54.0, 2: 59.0, 3: 0.2, 4: 98.0, 5: 100.0}
     assert {r["book"] for r in catalog.reading_progress(lib, "finished").collect()} == {4, 5}
+
+
+def test_registered_queries_that_list_all_have_no_cap(spark):
+    made = entry.queries()
+    for name in ("reading_progress_latest", "reading_progress_reading", "reading_progress_finished", "dups_title", "dups_title_author", "dups_isbn"):
+        assert "GlobalLimit 1000000" not in _plan(made[name](spark, "/root/testdata/sf0.001")), name
+    lib = Library(spark, {"last_read_positions": spark.createDataFrame([(i, i, "EPUB", "u", "d", "", float(i), 0.5) for i in range(60)], SCHEMAS["last_read_positions"])})
+    assert catalog.reading_progress(lib).count() == 50 and catalog.reading_progress(lib, limit=None).count() == 60
