@@ -3,7 +3,9 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from quire.operators import catalog
+from quire.functions import text
+from quire.functions.stem import porter
+from quire.operators import catalog, fulltext
 from quire.plans.library import SCHEMAS, Library
 
 
@@ -25,3 +27,23 @@ def test_registered_queries_that_list_all_have_no_cap(spark):
         assert "GlobalLimit 1000000" not in _plan(made[name](spark, "/root/testdata/sf0.001")), name
     lib = Library(spark, {"last_read_positions": spark.createDataFrame([(i, i, "EPUB", "u", "d", "", float(i), 0.5) for i in range(60)], SCHEMAS["last_read_positions"])})
     assert catalog.reading_progress(lib).count() == 50 and catalog.reading_progress(lib, limit=None).count() == 60
+
+
+def test_index_is_built_in_one_pass_without_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "GROUPED", 40)  # several pieces
+    rows = [(1, 7, "a", "The thé; the RATES rating"), (2, 7, "b", None), (3, 8, "a", "... "), (4, 8, "b", "x " * 50), (5, 9, "a", "rated the ß Ωmega 1²")]
+    texts = spark.createDataFrame(rows, "rid long, book long, fmt string, text string")
+    for stem in (False, True):
+        want: dict = {}
+        for rid, words in ((r["rid"], r["_t"] or []) for r in texts.select("rid", text.fts_tokens(F.col("text")).alias("_t")).collect()):
+            for i, w in enumerate(words):
+                want.setdefault((rid, porter(w) if stem else w), []).append(i)
+        index, path = fulltext.build_index(texts, stem), str(tmp_path / f"stem-{stem}")
+        assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+        fulltext.store_index(texts, path, stem)
+        for made in (index, fulltext.load_index(spark, path, stem)):
+            assert {(r["rid"], r["term"]): list(r["positions"]) for r in made.postings.collect()} == want
+            assert {tuple(r) for r in made.rows.collect()} == {(1, 7, "a", 5), (2, 7, "b", 0), (3, 8, "a", 0), (4, 8, "b", 50), (5, 9, "a", 5)}
+        assert tuple(fulltext.load_index(spark, path, stem).stats.first()) == (5, 12.0)
+    fulltext.store_index(texts.limit(0), str(tmp_path / "empty"))
+    assert fulltext.load_index(spark, str(tmp_path / "empty")).postings.count() == 0
