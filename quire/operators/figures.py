@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .semantic import dequantise, dot, fuse, ranked, vector_scores
+from .semantic import byte_scores, fuse, ranked
 
 #: Bytes under which a raster image is an icon, pixels likewise, formats by preference, ranks that are fused.
 ICON_BYTES, ICON_PIXELS, POOL = 2048, 80, 200
@@ -63,6 +63,6 @@ def search_figures(figures: DataFrame, index, words: list[str], vectors: list |
         by_word = ranked(hits.withColumnRenamed("rid", "id"), "score", POOL)
     by_vector = none
     if vectors:
-        scored = vector_scores(scope.where(F.col("vec").isNotNull()).select("id", dequantise(F.col("vec")).alias("vec")), vectors, score=dot)
+        scored = scope.where(F.col("vec").isNotNull()).select("id", byte_scores(F.col("vec"), vectors).alias("vector"))
         by_vector = ranked(scored, "vector", POOL)
-    return fuse(by_word, by_vector).join(scope.drop("vec"), "id").orderBy(F.round("score", 9).desc(), "id").limit(k)
+    return scope.drop("vec").join(F.broadcast(fuse(by_word, by_vector)), "id").orderBy(F.round("score", 9).desc(), "id").limit(k)

@@ -1,11 +1,15 @@
 """What larger tables and odd values showed: percentages on a tie, caps, work that grows faster than its input."""
 
+import hashlib
+import re
+
 import __spark_entry__ as entry
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.functions.stem import porter
-from quire.operators import catalog, fulltext
+from quire.operators import catalog, fulltext, passage_index, semantic
 from quire.plans.library import SCHEMAS, Library
 
 
@@ -47,3 +51,42 @@ def test_index_is_built_in_one_pass_without_a_shuffle(spark, tmp_path, monkeypat
         assert tuple(fulltext.load_index(spark, path, stem).stats.first()) == (5, 12.0)
     fulltext.store_index(texts.limit(0), str(tmp_path / "empty"))
     assert fulltext.load_index(spark, str(tmp_path / "empty")).postings.count() == 0
+
+
+def test_embedding_is_what_hashing_each_feature_gives(spark):
+    texts = ["The café's ROOMS, the rooms", "", "Straße İstanbul ΣΟΦΟΣ ab", None, "heor blest threa " * 90]
+    want = np.zeros((len(texts), semantic.DIM), np.float32)
+    for row, t in zip(want, texts):
+        words = re.findall(r"\w{3,}", text.py_cfold(t or ""))
+        for feature in [*words, *map(" ".join, zip(words, words[1:]))]:
+            h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+            row[h % semantic.DIM] += 1 if h >> 63 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), np.finfo(np.float32).tiny)
+    assert np.array_equal(semantic.HashEmbedder().embed([t or "" for t in texts]), want)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    two = rows.select("id", semantic.embed_bytes(F.col("text")).alias("a"), semantic.quantise(semantic.embed(F.col("text"))).alias("b"))
+    assert all(r["a"] == r["b"] for r in two.collect())
+    queries = [v.tolist() for v in semantic.HashEmbedder().embed(["heor blest", "the rooms"])]
+    short = two.select("id", "a").union(spark.createDataFrame([(9, None)], two.select("id", "a").schema)).union(two.select(F.lit(10), F.slice("a", 1, 3)).limit(1))
+    old = semantic.vector_scores(two.select("id", semantic.dequantise(F.col("a")).alias("vec")), queries, score=semantic.dot).select("id", "vector").collect()
+    new = {r["id"]: r["s"] for r in short.select("id", semantic.byte_scores(F.col("a"), queries).alias("s")).collect()}
+    assert new == {r["id"]: r["vector"] for r in old} | {9: None, 10: None}
+
+
+def test_hybrid_search_scores_passages_once_and_shuffles_no_text(spark):
+    rows = [(i, i // 3, 0, 9, None, "body", f"heor {chr(97 + i) * 4} blest") for i in range(26)]
+    made = spark.createDataFrame(rows, "id long, book long, off int, len int, heading string, kind string, text string").withColumn("vec", semantic.embed_bytes(F.col("text")))
+    found = semantic.hybrid_search(made, ["heor hhhh"], 3)
+    assert [r["id"] for r in found.collect()][0] == 7
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert all("text" not in x for x in scans)
+
+
+def test_passage_index_reads_and_cuts_only_what_changed(spark, tmp_path):
+    index = passage_index.PassageIndex(spark, str(tmp_path / "passages"))
+    long = "some words that go on " * 60
+    assert index.build(spark.createDataFrame([(1, long), (2, long), (3, None)], "book long, text string")) == {"added": 3, "changed": 0, "removed": 0}
+    assert index.build(spark.createDataFrame([(1, long + "more"), (3, None), (4, "x" * 100)], "book long, text string")) == {"added": 1, "changed": 1, "removed": 1}
+    assert index.build(spark.createDataFrame([(1, long + "more"), (3, None), (4, "x" * 100)], "book long, text string")) == {"added": 0, "changed": 0, "removed": 0}
+    kept = {r["book"]: r["n"] for r in index._table("books", passage_index.BOOKS).read().collect()}
+    assert kept == {1: 3, 3: 0, 4: 1} and {r["book"] for r in index.passages().collect()} == {1, 4}
