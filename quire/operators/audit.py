@@ -16,6 +16,8 @@ from quire.functions.text import TOKEN, cfold, shingles
 
 #: Shingle length and limits.
 N = 8
+#: Shingles of the sources up to which they go to the texts; shingles of all texts are many times the texts, so they are shuffled only beyond.
+BROADCAST_SHINGLES = 1 << 20
 LIMITS = {"max_overlap": 0.03, "max_run_words": 20, "max_quote_words": 25, "max_quotes": 20, "max_ratio": 0.15, "max_heading_mirror": 0.5, "max_ordered_headings": 5}
 QUOTE = r"(?m)“[^”]{1,2000}”|\"[^\"\n]{1,2000}\"|«[^»]{1,2000}»|^>.*$"
 CODE = r"(?s)```.*?```"
@@ -35,8 +37,10 @@ def shingle_hits(texts: DataFrame, sources: DataFrame) -> DataFrame:
     """texts: id, text; sources: text. id, pos, hit for each shingle of the texts."""
     # the words are a column of their own first: inside the lambda of shingles() they would be cut anew for each shingle
     mine = texts.select("id", own_words(F.col("text")).alias("_w")).select("id", F.posexplode(shingles(F.col("_w"), N)).alias("pos", "s"))
-    theirs = sources.select(words(F.col("text")).alias("_w")).select(F.explode(shingles(F.col("_w"), N)).alias("s")).distinct().withColumn("_in", F.lit(True))
-    return mine.join(theirs, "s", "left").select("id", "pos", F.coalesce("_in", F.lit(False)).alias("hit"))
+    theirs = sources.select(words(F.col("text")).alias("_w")).select(F.explode(shingles(F.col("_w"), N)).alias("s")).distinct()
+    few = theirs.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
+    theirs = theirs.withColumn("_in", F.lit(True))
+    return mine.join(F.broadcast(theirs) if few else theirs, "s", "left").select("id", "pos", F.coalesce("_in", F.lit(False)).alias("hit"))
 
 
 def overlap(hits: DataFrame) -> DataFrame:
