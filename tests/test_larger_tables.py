@@ -107,3 +107,11 @@ def test_log_states_cross_the_stretches_of_a_source(spark, monkeypatch):
     one = [r for r in made.collect() if r["source"] is None and r["n"] % 15 == 7]
     assert len(one) == 4 and all(r["kind"] == "error" and r["detail"] for r in one)
     assert logs.classify(lines.limit(0)).count() == 0
+
+
+def test_pages_reach_python_in_batches_bounded_by_bytes(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    for name in ("html_to_text", "html_to_markdown", "html_figures", "figure_search"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20), name
