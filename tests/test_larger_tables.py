@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from quire.functions import text
 from quire.functions.stem import porter
-from quire.operators import catalog, fulltext, passage_index, semantic
+from quire.operators import audit, catalog, fulltext, passage_index, semantic
 from quire.plans.library import SCHEMAS, Library
 from quire.streaming import logs
 
@@ -115,3 +115,16 @@ def test_pages_reach_python_in_batches_bounded_by_bytes(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
         entry.queries()[name](spark, "/root/testdata/sf0.001")
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20), name
+
+
+def test_overlap_is_the_same_with_and_without_broadcast(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(30))
+    texts = spark.createDataFrame([(1, "x y " + words), (2, "a b c d e f g h i"), (3, None)], "id long, text string")
+    sources = spark.createDataFrame([(words,)], "text string")
+    found = {}
+    for most in (audit.BROADCAST_SHINGLES, 5):  # the sources have 23 shingles
+        monkeypatch.setattr(audit, "BROADCAST_SHINGLES", most)
+        hits = audit.shingle_hits(texts, sources)
+        found[most] = sorted(map(repr, audit.overlap(hits).collect()))
+        assert ("strategy=broadcast" in hits._jdf.queryExecution().logical().toString() or "ResolvedHint" in hits._jdf.queryExecution().analyzed().toString()) == (most > 5)
+    assert len(set(map(tuple, found.values()))) == 1 and len(found[5]) == 2
